@@ -51,7 +51,8 @@ def id_crc32(column: str = "doc_id") -> Column:
 def partitions_for(df: DataFrame, mb_each: int = 24, least: int = 8) -> int:
     """Partitions that hold about ``mb_each`` MB of the input files, by the optimizer's size estimate."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb_each << 20)))
+    known = 0 if size > 1 << 56 else size  # frames that aren't from files have no estimate
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // (mb_each << 20)))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,3 +62,24 @@ def small_batches(spark: SparkSession) -> None:
 
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], slot: str) -> DataFrame:
+    """Adds a gapless number from 0 within each key, without bringing a key to one task.
+
+    Rows are range-partitioned by (key, order) and written, with Spark's row ids of the sorted
+    partitions; counts of (partition, key), few rows, give each partition its first number.
+    """
+    n = partitions_for(rows)
+    cut = written(rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_row", 33)
+    counts = cut.groupBy(key, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    found = sorted((r[key], r["_part"], r["_n"], r["_first"]) for r in counts.collect())  # (partitions + keys) rows at most
+    base, last, starts = 0, None, []
+    for k, p, n_rows, first in found:
+        base = base if k == last else 0
+        starts.append((k, p, base - first))
+        base, last = base + n_rows, k
+    spark = rows.sparkSession
+    shift = spark.createDataFrame(starts, f"{key} {dict(rows.dtypes)[key]}, _part long, _shift long")
+    return cut.withColumn("_part", part).join(F.broadcast(shift), [key, "_part"]).withColumn(slot, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")

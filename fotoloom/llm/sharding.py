@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions_for, written
+from .common import as_bytes, numbered
 
 SHARDS_A_RACK = 5
 RACKS_A_REGION = 2
@@ -57,27 +57,6 @@ def placed(docs: DataFrame, shards: int, weights: dict[int, float] | None = None
     return docs
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], slot: str) -> DataFrame:
-    """Adds a gapless number from 0 within each key, without bringing a key to one task.
-
-    Rows are range-partitioned by (key, order) and written, with Spark's row ids of the sorted
-    partitions; counts of (partition, key), few rows, give each partition its first number.
-    """
-    n = partitions_for(rows)
-    cut = written(rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_row", 33)
-    counts = cut.groupBy(key, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    found = sorted((r[key], r["_part"], r["_n"], r["_first"]) for r in counts.collect())  # (partitions + keys) rows at most
-    base, last, starts = 0, None, []
-    for k, p, n_rows, first in found:
-        base = base if k == last else 0
-        starts.append((k, p, base - first))
-        base, last = base + n_rows, k
-    spark = rows.sparkSession
-    shift = spark.createDataFrame(starts, f"{key} {dict(rows.dtypes)[key]}, _part long, _shift long")
-    return cut.withColumn("_part", part).join(F.broadcast(shift), [key, "_part"]).withColumn(slot, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
-
-
 def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
     text = F.coalesce(as_bytes("text"), F.lit(b""))
