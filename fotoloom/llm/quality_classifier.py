@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, written
+from .common import id_crc32
 from .textstats import text_counts
 
 MAX_TRAIN = 20_000
@@ -33,34 +33,28 @@ STEPS = 600
 HELD_OUT_MOD, HELD_OUT_REST = 3, 1
 
 
-def _share(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
-
-
-def features() -> dict[str, Column]:
-    return {
-        "words": F.log1p("n_words"),
-        "mean_word": _share("word_chars", "n_words"),
-        "symbols": _share("n_symbols", "n_words"),
-        "symbol_chars": _share("n_symbols", "word_chars"),
-        "dup_lines": _share("n_dup_lines", "n_lines"),
-        "words_a_line": _share("n_words", "n_lines"),
-        "repeats": _share("n_repeat_words", "n_words"),
-        "distinct": _share("n_distinct_words", "n_words"),
-        "upper": _share("n_upper", "word_chars"),
-        "bangs": _share("n_bangs", "n_words"),
-        "pipes": _share("n_pipes", "n_words"),
-        "digits": _share("n_digits", "word_chars"),
-        "ends": _share("n_ends", "n_words"),
-        "commas": _share("n_commas", "n_words"),
-        "short_words": _share("n_short_words", "n_words"),
-        "long_words": _share("n_long_words", "n_words"),
-        "top_word": _share("max_word_count", "n_words"),
-        "other_punct": _share("n_other_punct", "n_words"),
-    }
-
-
-FEATURES = list(features())
+#: Statistics by name, as SQL over the counts.
+STATISTICS = {
+    "words": "log1p(n_words)",
+    "mean_word": "word_chars / greatest(n_words, 1)",
+    "symbols": "n_symbols / greatest(n_words, 1)",
+    "symbol_chars": "n_symbols / greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "words_a_line": "n_words / greatest(n_lines, 1)",
+    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "distinct": "n_distinct_words / greatest(n_words, 1)",
+    "upper": "n_upper / greatest(word_chars, 1)",
+    "bangs": "n_bangs / greatest(n_words, 1)",
+    "pipes": "n_pipes / greatest(n_words, 1)",
+    "digits": "n_digits / greatest(word_chars, 1)",
+    "ends": "n_ends / greatest(n_words, 1)",
+    "commas": "n_commas / greatest(n_words, 1)",
+    "short_words": "n_short_words / greatest(n_words, 1)",
+    "long_words": "n_long_words / greatest(n_words, 1)",
+    "top_word": "max_word_count / greatest(n_words, 1)",
+    "other_punct": "n_other_punct / greatest(n_words, 1)",
+}
+FEATURES = list(STATISTICS)
 
 
 @dataclass
@@ -165,17 +159,27 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
     return RuleModel(float(bias), kept)
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> RuleModel:
-    """Learns from the labelled rows outside the held-out third; ``stats`` has doc_id and FEATURES."""
+def fit(docs: DataFrame, labels: DataFrame) -> RuleModel:
+    """Learns from labelled rows outside the held-out third."""
     learn = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    learn = learn.where(id_crc32() % HELD_OUT_MOD != HELD_OUT_REST).join(stats.dropDuplicates(["doc_id"]), "doc_id")
-    rows = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).select("quality", *FEATURES).toPandas()
+    learn = learn.where(id_crc32() % HELD_OUT_MOD != HELD_OUT_REST).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
+    known = text_counts(docs.join(F.broadcast(learn.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(learn), "doc_id")
+    rows = known.select("doc_id", "quality", *(F.expr(c).alias(n) for n, c in STATISTICS.items())).toPandas().sort_values(["doc_id", *FEATURES])
     return fit_rules(rows[FEATURES].to_numpy(float), (rows["quality"].to_numpy(float) >= 0.5).astype(float))
 
 
+def _score(counts: DataFrame, model: RuleModel) -> DataFrame:
+    return counts.select("doc_id", *(["row"] if "row" in counts.columns else []), *(F.expr(c).alias(n) for n, c in STATISTICS.items())).withColumn("score", model.column())
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    stats = written(text_counts(docs), "text-counts").select("doc_id", *(c.alias(n) for n, c in features().items()))
-    model = fit(stats, labels)
+    rows = _score(text_counts(docs), fit(docs, labels))
     held = id_crc32() % HELD_OUT_MOD == HELD_OUT_REST
-    return stats.select("doc_id", held.alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more; nothing is shuffled."""
+    rows = _score(text_counts(docs, whole_row=True), fit(docs, labels)).where("score >= 0.5")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

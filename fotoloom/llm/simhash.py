@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, partitions_for, small_batches, written
@@ -162,3 +162,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     found = joined.select("print", "label").join(least, "label").select("print", "component_id")
     return every.join(found, "print").select("doc_id", "print", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the row of the least doc_id of each component.
+
+    Of rows that repeat an id one stays; rows with a null id stay, as no id tells them apart.
+    """
+    found = near_duplicates(docs, shingle)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept_id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_kept_id"), row.alias("row"))
+    alone = rows.where("_kept_id is not null").join(kept, "_kept_id")
+    alone = alone.withColumn("_n", F.row_number().over(Window.partitionBy("_kept_id").orderBy("_kept_id"))).where("_n = 1").select("row")
+    every = alone.unionByName(rows.where("_kept_id is null").select("row"))
+    return every.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

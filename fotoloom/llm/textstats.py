@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import as_bytes, column_of, small_batches
 
@@ -82,10 +83,17 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [counts(t or b"") for t in column_of(batch, "text")]
         table = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(table[:, k]) for k in range(len(COUNTS)))], ["doc_id", *COUNTS])
+        rest = batch.schema.names[2:]
+        columns = [batch.column(0).cast(pa.int64()), *(pa.array(table[:, k]) for k in range(len(COUNTS))), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, *rest])
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS for every row of ``docs``, in one pass without a shuffle."""
+def text_counts(docs: DataFrame, whole_row: bool = False) -> DataFrame:
+    """doc_id and COUNTS for every row of ``docs``, in one pass without a shuffle.
+
+    ``whole_row`` adds all columns of ``docs`` as the struct ``row``.
+    """
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", as_bytes("text").alias("text")).mapInArrow(_batches, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_row else []))
+    schema = SCHEMA + (f", row {rows.schema['row'].dataType.simpleString()}" if whole_row else "")
+    return rows.mapInArrow(_batches, schema)
