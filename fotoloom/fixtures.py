@@ -83,7 +83,8 @@ def images(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
     """img_id, width, height and luma: grey 8x8 images, one row each; ``copies`` adds near copies."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * x.cast("double"))).cast("int")).cast("int")).alias("luma"))
     if copies:
-        near = own.where("img_id % 4 = 0").select((F.col("img_id") + 1000000).alias("img_id"), F.transform("luma", lambda v, i: F.least(F.lit(255), v + F.when(((i + 1) * 7 + F.col("img_id")) % 11 == 0, 6).otherwise(0)).cast("int")).alias("luma"))
+        step = lambda v, i: F.least(F.lit(255), v + F.when(((i + 1) * 7 + F.col("img_id")) % 11 == 0, 6).otherwise(0)).cast("int")
+        near = own.where("img_id % 4 = 0").withColumn("luma", F.transform("luma", step)).withColumn("img_id", F.col("img_id") + 1000000)
         own = own.unionByName(near)
     return own.select("img_id", F.lit(8).alias("width"), F.lit(8).alias("height"), "luma")
 

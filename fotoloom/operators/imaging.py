@@ -151,18 +151,16 @@ def quality_score(sharp: Column, center: Column, exposed: Column) -> Column:
 
 def color_names(rgb: np.ndarray) -> np.ndarray:
     """Name of the colour of each 8-bit pixel, by hue, saturation and value."""
-    c = rgb.astype(np.float32) / np.float32(255)
-    top, low = c.max(1), c.min(1)
+    r, g, b = rgb.astype(float).T
+    top, low = rgb.max(1).astype(float), rgb.min(1)
     delta = top - low
     safe = np.where(delta > 0, delta, 1)
-    r, g, b = c.T
-    hue = np.where(top == r, np.fmod((g - b) / safe, 6), np.where(top == g, (b - r) / safe + 2, (r - g) / safe + 4)) * 60
-    hue = np.where(delta < 1.2e-7, 0, np.where(hue < 0, hue + 360, hue))
-    s = np.where(top > 1.2e-7, delta / np.where(top > 0, top, 1), 0)
+    hue = 60 * np.where(top == r, np.where(g >= b, (g - b) / safe, (g - b) / safe + 6), np.where(top == g, (b - r) / safe + 2, (r - g) / safe + 4))
+    hue = np.where(delta > 0, hue, 0)
+    s, v = np.where(top > 0, delta / np.where(top > 0, top, 1), 0), top / 255
     bands = np.array(["red", "orange", "yellow", "green", "blue", "purple", "red"])[np.digitize(hue, [20, 45, 70, 160, 260, 340])]
-    brown = np.isin(bands, ["red", "orange"]) & (top < 0.6) & (s < 0.7)
-    named = np.where(brown, "brown", bands)
-    return np.where(top < 0.2, "black", np.where(s < 0.1, np.where(top > 0.8, "white", "gray"), named))
+    named = np.where(np.isin(bands, ["red", "orange"]) & (v < 0.6) & (s < 0.7), "brown", bands)
+    return np.where(v < 0.2, "black", np.where(s < 0.1, np.where(v > 0.8, "white", "gray"), named))
 
 
 def color_tags(images: DataFrame, key: str = "path") -> DataFrame:

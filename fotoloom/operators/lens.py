@@ -90,5 +90,5 @@ def disambiguate_lens_names(lenses: DataFrame) -> DataFrame:
     canon_short = F.regexp_replace("canonical", r"^\S+\s+", "")
     rows = lenses.withColumn("_cs", canon_short)
     n = lambda *c: F.count(F.lit(1)).over(Window.partitionBy("maker", *c))
-    with_crop = F.concat("canonical", F.lit(" (crop "), F.format_number("cropfactor", "0.0"), F.lit("x)"))
+    with_crop = F.concat("canonical", F.lit(" (crop "), F.format_string("%.1f", "cropfactor"), F.lit("x)"))
     return rows.withColumn("shown", F.when(n("short") == 1, F.col("short")).when(n("_cs") == 1, F.col("_cs")).when(n("canonical") == 1, F.col("canonical")).otherwise(with_crop)).drop("_cs")

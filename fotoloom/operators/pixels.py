@@ -280,7 +280,7 @@ def range_mask_values(c: np.ndarray, target: tuple, tolerance: float, by: str =
 
 
 def apply(images: DataFrame, step: Callable[..., np.ndarray], with_size: bool = False, column: str = "pixels", kind: str = "array<float>") -> DataFrame:
-    """``images`` with ``column`` replaced by what the step makes of the pixels."""
+    """``images`` with what the step makes of the pixels, in their place or as another column instead of them."""
     images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     rest = [c for c in images.columns if c not in ("pixels", column)]
     arrow = pa.list_(pa.float32()) if kind == "array<float>" else pa.list_(pa.int32())
@@ -295,7 +295,7 @@ def apply(images: DataFrame, step: Callable[..., np.ndarray], with_size: bool =
             yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in rest), pa.array([None if o is None else o.astype(np.float32 if kind == "array<float>" else np.int32) for o in out], arrow)], [*rest, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name in rest)
-    return images.mapInArrow(run, f"{schema}, {column} {kind}").select(*images.columns, *([column] if column not in images.columns else []))
+    return images.mapInArrow(run, f"{schema}, {column} {kind}").select(*[c for c in images.columns if c != "pixels" or column == "pixels"], *([column] if column not in images.columns else []))
 
 
 def downscale(images: DataFrame, max_dim: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import paths
 
 IMPORT_FOLDERS = "{YYYY}/{MM}/{DD}"
@@ -12,16 +13,9 @@ EXPORT_NAME = "{original_filename}_edited"
 
 
 def numbered(items: DataFrame, column: str = "sequence", order: str = "idx") -> DataFrame:
-    """Adds 1, 2, ... in the order of ``order``, without sorting everything in one task.
-
-    Rows are range-partitioned; a row's number is its place in its partition plus the rows of the
-    partitions before, of which there is one count each.
-    """
-    rows = items.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    return own.join(F.broadcast(before), "_part").withColumn(column, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+    """Adds 1, 2, ... in the order of ``order``; no task sorts everything."""
+    rows = storage.numbered(items.withColumn("_all", F.lit(0)), "_all", [order], column)
+    return rows.withColumn(column, F.col(column) + 1).drop("_all")
 
 
 def filled(template: Column, values: dict[str, Column]) -> Column:
