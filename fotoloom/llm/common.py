@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, numbered, partitions_for, shared_folder, written
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BATCH_ROWS = 2000
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables between stages: what spark.checkpoint.dir names.
-
-    A folder of this machine is used only where that is unset and Spark runs in one process.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it is computed once and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["as_bytes", "column_of", "discard", "id_crc32", "numbered", "partitions_for", "shared_folder", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +27,6 @@ def id_crc32(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def partitions_for(df: DataFrame, mb_each: int = 24, least: int = 8) -> int:
-    """Partitions that hold about ``mb_each`` MB of the input files, by the optimizer's size estimate."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = 0 if size > 1 << 56 else size  # frames that aren't from files have no estimate
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // (mb_each << 20)))
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, as single texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -62,24 +34,3 @@ def small_batches(spark: SparkSession) -> None:
 
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
-def numbered(rows: DataFrame, key: str, order: list[str], slot: str) -> DataFrame:
-    """Adds a gapless number from 0 within each key, without bringing a key to one task.
-
-    Rows are range-partitioned by (key, order) and written, with Spark's row ids of the sorted
-    partitions; counts of (partition, key), few rows, give each partition its first number.
-    """
-    n = partitions_for(rows)
-    cut = written(rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_row", 33)
-    counts = cut.groupBy(key, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    found = sorted((r[key], r["_part"], r["_n"], r["_first"]) for r in counts.collect())  # (partitions + keys) rows at most
-    base, last, starts = 0, None, []
-    for k, p, n_rows, first in found:
-        base = base if k == last else 0
-        starts.append((k, p, base - first))
-        base, last = base + n_rows, k
-    spark = rows.sparkSession
-    shift = spark.createDataFrame(starts, f"{key} {dict(rows.dtypes)[key]}, _part long, _shift long")
-    return cut.withColumn("_part", part).join(F.broadcast(shift), [key, "_part"]).withColumn(slot, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions_for, small_batches, written
+from .common import as_bytes, discard, partitions_for, small_batches, written
 from .windows import GRAM, WINDOW, GramHasher, sampled
 
 LEFT = WINDOW - GRAM
@@ -36,8 +36,9 @@ HALF = LEFT // 2
 SIDE = WINDOW - HALF
 _HASHER = GramHasher()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_HALF = 1 << 63
 _SAMPLE_SCHEMA = "key long, doc long, name long"
-_NAME_SCHEMA = "name long, long_name long, reach long, doc long"
+_NAME_SCHEMA = "long_name long, reach int, doc long"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -78,11 +79,11 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(docs: DataFrame, parts: int) -> DataFrame:
-    """doc and the names (low 31 bits) that it shares with another document, as an array."""
+    """doc and the names (high 31 bits) that it shares with another document, as an array."""
     rows = docs.select("doc_id", "text").mapInArrow(_samples, _SAMPLE_SCHEMA)
     seen = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = seen.where("doc is not null and (name is not null or n > 1)").select("doc", F.coalesce("name", "key").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("low"))
-    return shared.repartition(parts, "doc").groupBy("doc").agg(F.collect_list("low").alias("lows"))
+    shared = seen.where("doc is not null and (name is not null or n > 1)").select("doc", F.shiftrightunsigned(F.coalesce("name", "key"), 33).cast("int").alias("part"))
+    return shared.repartition(parts, "doc").groupBy("doc").agg(F.collect_list("part").alias("parts"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -95,22 +96,16 @@ def copies(docs: DataFrame) -> DataFrame:
 class _Shared:
     """The shared sampled positions of one text, with their long names."""
 
-    def __init__(self, text: bytes, lows: np.ndarray) -> None:
+    def __init__(self, text: bytes, parts: np.ndarray) -> None:
         h = _HASHER.grams(np.frombuffer(text, np.uint8))
         at = sampled(h)
-        at = at[np.isin((h[at] & np.uint64((1 << 31) - 1)).astype(np.int32), lows)]
-        self.at, self.h, n = at.tolist(), h[at], len(text)
-        reach, left, right = [], [], []
-        for p in self.at:
-            reach.append(xxhash.xxh3_64_intdigest(text[max(0, p - LEFT) : p + WINDOW], 3))
-            left.append(xxhash.xxh3_64_intdigest(text[p - HALF : p + GRAM], 1) if p >= HALF else 0)
-            right.append(xxhash.xxh3_64_intdigest(text[p : p + SIDE], 2) if p + SIDE <= n else 0)
-        self.reach, self.left, self.right = (np.array(x, np.uint64) for x in (reach, left, right))
-        self.has_left = np.array(self.at, np.int64) >= HALF
-        self.has_right = np.array(self.at, np.int64) + SIDE <= n
-
-    def keys(self, long_name: np.ndarray) -> np.ndarray:
-        return _signed(long_name * _ODD + self.h)
+        at = at[np.isin((h[at] >> np.uint64(33)).astype(np.int32), parts)]
+        self.at, n, name = at.tolist(), len(text), xxhash.xxh3_64_intdigest
+        #: (position, whole reach, left name or None, right name or None)
+        self.names = [
+            (p, name(text[max(0, p - LEFT) : p + WINDOW], 3) - _HALF, name(text[p - HALF : p + GRAM], 1) - _HALF if p >= HALF else None, name(text[p : p + SIDE], 2) - _HALF if p + SIDE <= n else None)
+            for p in self.at
+        ]
 
 
 def _is_copy(text: bytes, shas: list[str] | None) -> bool:
@@ -119,30 +114,29 @@ def _is_copy(text: bytes, shas: list[str] | None) -> bool:
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for doc, text, lows, shas in zip(*(batch.column(k).to_pylist() if k != 2 else batch.column(k) for k in range(4)), strict=True):
-            if not lows.is_valid or _is_copy(text, shas):
+        names, reaches, docs = [], [], []
+        for doc, text, parts, shas in zip(*(batch.column(k).to_pylist() if k != 2 else batch.column(k) for k in range(4)), strict=True):
+            if not parts.is_valid or _is_copy(text, shas):
                 continue
-            s = _Shared(text, lows.values.to_numpy())
-            for long_name, has in ((s.reach, slice(None)), (s.left, s.has_left), (s.right, s.has_right)):
-                name = s.h[has]
-                for column, value in zip(out, (name, long_name[has], s.reach[has], np.full(len(name), doc)), strict=True):
-                    column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(c)) if k < 3 else np.concatenate(c).astype(np.int64)) for k, c in enumerate(out)], ["name", "long_name", "reach", "doc"])
+            for _, reach, left, right in _Shared(text, parts.values.to_numpy()).names:
+                for x in (reach, left, right):
+                    if x is not None:
+                        names.append(x)
+                        reaches.append(reach)
+                        docs.append(doc)
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)), pa.array(np.array(reaches, np.int64).astype(np.int32)), pa.array(np.array(docs, np.int64))], ["long_name", "reach", "doc"])
 
 
 def owned(texts: DataFrame, parts: int) -> DataFrame:
-    """doc, the keys of the long names that no smaller id has, and those among them with several reaches."""
-    rows = texts.select("doc_id", "text", "lows", "shas").mapInArrow(_names, _NAME_SCHEMA)
-    least = rows.groupBy("name", "long_name").agg(F.min("doc").alias("doc"), (F.min("reach") != F.max("reach")).alias("several"))
-    return least.repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("name", "long_name", "several")).alias("own"))
+    """doc, the long names that no smaller id has, and those among them with several reaches."""
+    rows = texts.select("doc_id", "text", "parts", "shas").mapInArrow(_names, _NAME_SCHEMA)
+    least = rows.groupBy("long_name").agg(F.min("doc").alias("doc"), (F.min("reach") != F.max("reach")).alias("several"))
+    return least.repartition(parts, "doc").groupBy("doc").agg(F.collect_list("long_name").alias("own"), F.collect_list(F.when(F.col("several"), F.col("long_name"))).alias("several"))
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, ends, -1)
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -178,46 +172,45 @@ class _Resolve:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [self.row(*x) for x in zip(*(batch.column(k) for k in range(5)), strict=True)]
+            rows = [self.row(*x) for x in zip(*(batch.column(k) for k in range(6)), strict=True)]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "pending", "starts", "ends", "windows"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "rest", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(6), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "rest", *names])
 
     def done(self, text: bytes, gone: np.ndarray | None) -> tuple:
         digest = _digest(text, gone)
         return (*digest[:4], _whole_characters(text, gone) if self.with_text else None, None, None, None, None)
 
-    def row(self, doc, text, lows, shas, own) -> tuple:
+    def row(self, doc, text, parts, shas, own, several) -> tuple:
         text = text.as_py() or b""
         if not doc.is_valid or len(text) < WINDOW:
             return self.done(text, None)
         if shas.is_valid and _is_copy(text, shas.as_py()):
             return self.done(text, np.ones(len(text), bool))
-        if not lows.is_valid:
+        if not parts.is_valid:
             return self.done(text, None)
-        n, s = len(text), _Shared(text, lows.values.to_numpy())
-        mine = several = np.zeros(0, np.int64)
-        if own.is_valid:
-            name, long_name, flag = (own.values.field(k) for k in range(3))
-            mine = _signed(long_name.to_numpy().view(np.uint64) * _ODD + name.to_numpy().view(np.uint64))
-            several = mine[flag.to_numpy(zero_copy_only=False)]
-        at = np.array(s.at, np.int64)
-        known = ~np.isin(s.keys(s.reach), mine)
-        starts, ends = np.maximum(at[known] - LEFT, 0), np.minimum(at[known] + WINDOW, n)
-        windows = []
-        for long_name, has, before in ((s.left, s.has_left, range(HALF, LEFT + 1)), (s.right, s.has_right, range(HALF))):
-            key = s.keys(long_name)
-            ask = at[has & ~known & (~np.isin(key, mine) | np.isin(key, several))]
-            windows += [ask - a for a in before]
-        window = np.unique(np.concatenate(windows)) if windows else np.zeros(0, np.int64)
-        window = window[(window >= 0) & (window + WINDOW <= n)]
-        gone = _covered(n, starts, ends)
-        if len(window):
-            # a window that is covered already isn't the first of its kind: nobody needs its row
-            inside = np.concatenate([[0], np.cumsum(gone)])
-            window = window[inside[window + WINDOW] - inside[window] < WINDOW]
+        n, shared = len(text), _Shared(text, parts.values.to_numpy())
+        mine, several = (set(x.values.to_numpy().tolist()) if x.is_valid else set() for x in (own, several))
+        starts, ends, asked = [], [], set()
+        for p, reach, left, right in shared.names:
+            # what shares the whole reach shares both sides: three hashes of 64 bits agree
+            if reach not in mine and left not in mine and right not in mine:
+                starts.append(max(p - LEFT, 0))
+                ends.append(min(p + WINDOW, n))
+                continue
+            if left is not None and (left not in mine or left in several):
+                asked.update(range(max(p - LEFT, 0), min(p - HALF, n - WINDOW) + 1))
+            if right is not None and (right not in mine or right in several):
+                asked.update(range(max(p - HALF + 1, 0), min(p, n - WINDOW) + 1))
+        gone = _covered(n, np.array(starts, np.int64), np.array(ends, np.int64)) if starts else None
+        if asked:
+            window = np.array(sorted(asked), np.int64)
+            if gone is not None:
+                # a window that is covered already isn't the first of its kind: nobody needs its row
+                inside = np.concatenate([[0], np.cumsum(gone)])
+                window = window[inside[window + WINDOW] - inside[window] < WINDOW]
             if len(window):
-                return (*([None] * 5), text, starts.tolist(), ends.tolist(), window.tolist())
+                return (*([None] * 5), text, starts, ends, window)
         return self.done(text, gone)
 
 
@@ -247,11 +240,9 @@ class _Finish(_Resolve):
 
     def finish(self, text, starts, ends, windows, own) -> tuple:
         text, window = text.as_py(), windows.values.to_numpy().astype(np.int64)
-        high, low = _window_keys(text, window)
-        mine = np.zeros(0, np.int64)
-        if own.is_valid:
-            mine = _signed(own.values.field(0).to_numpy().view(np.uint64) * _ODD + own.values.field(1).to_numpy().view(np.uint64))
-        hit = window[~np.isin(_signed(high * _ODD + low), mine)]
+        _, low = _window_keys(text, window)
+        mine = own.values.to_numpy() if own.is_valid else np.zeros(0, np.int64)
+        hit = window[~np.isin(_signed(low), mine)]
         begin, end = starts.values.to_numpy(), ends.values.to_numpy()
         return self.done(text, _covered(len(text), np.concatenate([begin, hit]), np.concatenate([end, hit + WINDOW])))[:5]
 
@@ -266,14 +257,17 @@ def resolved(docs: DataFrame, with_text: bool = False) -> DataFrame:
     shared = written(candidates(texts, parts), "repeat-names")
     whole = written(copies(texts), "repeat-copies")
     info = shared.join(whole, "doc", "full").withColumnRenamed("doc", "doc_id")
-    own = written(owned(texts.select("doc_id", "text").join(info.where("lows is not null"), "doc_id"), parts), "repeat-owned")
+    own = written(owned(texts.select("doc_id", "text").join(info.where("parts is not null"), "doc_id"), parts), "repeat-owned")
     info = info.join(own.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     inner = texts.schema["rest"].dataType.simpleString()
-    joined = texts.join(info, "doc_id", "left").select("doc_id", "text", "lows", "shas", "own", "rest")
+    joined = texts.join(info, "doc_id", "left").select("doc_id", "text", "parts", "shas", "own", "several", "rest")
     first = written(joined.mapInArrow(_Resolve(with_text), f"doc_id long, rest {inner}, {_DIGESTS}, pending binary, starts array<int>, ends array<int>, windows array<int>"), "repeat-first")
+    for done in (shared, whole, own):
+        discard(done)
     rows = first.where("pending is not null")
     least = rows.select("doc_id", "pending", "windows").mapInArrow(_window_rows, "high long, low long, doc long").groupBy("high", "low").agg(F.min("doc").alias("doc_id"))
-    mine = least.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias("own"))
+    # in the windows of one document half of the hash tells them apart
+    mine = written(least.select("doc_id", "low").repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list("low").alias("own")), "repeat-windows")
     last = rows.join(mine, "doc_id", "left").select("doc_id", "pending", "starts", "ends", "windows", "own", "rest")
     names = ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     return first.where("pending is null").select(*names).unionByName(last.mapInArrow(_Finish(with_text), f"doc_id long, rest {inner}, {_DIGESTS}"))

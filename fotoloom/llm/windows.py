@@ -20,33 +20,25 @@ class GramHasher:
     """Polynomial hashes modulo 2**64 of all grams, with powers kept between calls."""
 
     def __init__(self) -> None:
-        self._up = np.ones(1, np.uint64)
-        self._down = np.ones(1, np.uint64)
+        self._bytes = np.random.default_rng(2024).integers(0, 1 << 64, 256, dtype=np.uint64)
+        self._up = self._down = np.zeros(0, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self._up) < n:
             size = max(n, 2 * len(self._up), 1 << 12)
-            inverse = pow(_BASE, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                up, down = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
-                up[0] = down[0] = 1
-                self._up, self._down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+            up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self._up, self._down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64) * _MIX
 
     def grams(self, data: np.ndarray, length: int = GRAM) -> np.ndarray:
-        """Mixed hash of ``data[i:i+length]`` for every i; empty when data is shorter."""
+        """Hash of ``data[i:i+length]`` for every i, best in its high bits; empty when data is shorter."""
         n = len(data) - length + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         self._powers(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[: len(data)], out=sums[1:])
-        h = (sums[length:] - sums[:-length]) * self._down[:n]
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
-        h *= _MIX
-        h ^= h >> np.uint64(32)
-        return h
+        np.cumsum(self._bytes[data] * self._up[: len(data)], out=sums[1:])
+        return (sums[length:] - sums[:-length]) * self._down[:n]
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -61,10 +53,12 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def sampled(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Positions that hold the least gram hash (every tie) of at least one window."""
+    """Positions that hold the least gram hash (every tie of its high half) of at least one window."""
     width = window - gram + 1
     if len(h) < width:
         return np.zeros(0, np.int64)
-    least = _slide(h, width, np.minimum)
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return np.flatnonzero(_slide(padded, width, np.maximum) == h)
+    high = (h >> np.uint64(32)).astype(np.uint32)
+    least = _slide(high, width, np.minimum)
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint32)
+    padded[width - 1 : width - 1 + len(least)] = least
+    return np.flatnonzero(_slide(padded, width, np.maximum) == high)
