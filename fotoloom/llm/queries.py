@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, html_text, language_id, packing, quality_classifier, quality_rules, repeats, sharding, simhash, toxicity
 from .common import table
+from .oracles import ORACLE_SQL
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -71,4 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
