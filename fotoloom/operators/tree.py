@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import paths
 
 MAX_DEPTH = 64
@@ -25,8 +26,8 @@ def folder_counts(files: DataFrame, root: str = "") -> DataFrame:
 
 def folder_groups(catalog: DataFrame, base: str) -> DataFrame:
     """Photos per folder with the place of the folder: the base first, then by name."""
-    groups = catalog.groupBy("folder").agg(F.count(F.lit(1)).alias("photos"))
-    return groups.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("folder") != base, "folder")))
+    groups = catalog.groupBy("folder").agg(F.count(F.lit(1)).alias("photos")).withColumns({"_all": F.lit(0), "_other": F.col("folder") != base})
+    return storage.numbered(groups, "_all", ["_other", "folder"], "place").select("folder", "photos", (F.col("place") + 1).alias("place"))
 
 
 def closure(nodes: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def add_to_album(members: DataFrame, album_id: int, added: DataFrame) -> DataFra
     own = members.where(F.col("album_id") == album_id)
     new = added.groupBy("path").agg(F.min("idx").alias("idx")).join(own.select("path"), "path", "left_anti")
     last = own.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("last"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("idx", "path"))
-    rows = new.withColumn("n", place).join(F.broadcast(last)).select(F.lit(album_id).cast(dict(members.dtypes)["album_id"]).alias("album_id"), (F.col("last") + F.col("n")).cast(dict(members.dtypes)["pos"]).alias("pos"), "path")
+    placed = storage.numbered(new.withColumn("_all", F.lit(0)), "_all", ["idx", "path"], "n")
+    rows = placed.withColumn("n", F.col("n") + 1).join(F.broadcast(last)).select(F.lit(album_id).cast(dict(members.dtypes)["album_id"]).alias("album_id"), (F.col("last") + F.col("n")).cast(dict(members.dtypes)["pos"]).alias("pos"), "path")
     return members.select("album_id", "pos", "path").unionByName(rows)
 
 
