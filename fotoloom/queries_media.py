@@ -164,14 +164,20 @@ def w2(spark, d):
     return verdicts.where("idx < 1000000").join(picks.withColumn("idx", F.regexp_extract("path", "([0-9]+)$", 1).cast("long")), "idx").select("idx", "verdict", F.array_join("tags", "|").alias("tags"))
 
 
-def _pixels_sql(r, g, b, base="r / 255.0::double as r, g / 255.0::double as g, b / 255.0::double as b"):
-    return R + f", p as (select path, pos, {base} from rgb) select path, cast(pos as int) as pos, round({r} + 0.0000123, 4) as r, round({g} + 0.0000123, 4) as g, round({b} + 0.0000123, 4) as b from p"
+def _f32(x):
+    """Pixels are 32-bit on the way in and out, and so are the twin's."""
+    return f"cast(cast({x} as float) as double)"
+
+
+def _pixels_sql(r, g, b):
+    base = ", ".join(f"{_f32(f'{c} / 255.0::double')} as {c}" for c in "rgb")
+    r, g, b = map(_f32, (r, g, b))
+    return R + f", p as (select path, pos, {base} from rgb) select path, cast(pos as int) as pos, round({r}, 4) as r, round({g}, 4) as g, round({b}, 4) as b from p"
 
 
 def _rgb_rows(df):
-    # pixels are 32-bit: a shift keeps values that lie on a rounding border together
     long = df.select("path", F.posexplode("pixels").alias("k", "v"))
-    at = lambda n: F.round(F.max(F.when(F.col("k") % 3 == n, F.col("v").cast("double"))) + 0.0000123, 4)
+    at = lambda n: F.round(F.max(F.when(F.col("k") % 3 == n, F.col("v").cast("double"))), 4)
     return long.groupBy("path", F.floor(F.col("k") / 3).cast("int").alias("pos")).agg(at(0).alias("r"), at(1).alias("g"), at(2).alias("b"))
 
 
@@ -276,7 +282,7 @@ def j11(spark, d):
     return pixels.focus_stack(frames, 2).select("stack", "y", "x", "frame")
 
 
-@query("j12_downscale", R + " select path, cast((pos // 8) * 2 + (pos % 4) // 2 as int) as pos, round(avg(r / 255.0::double) + 0.0000123, 4) as r, round(avg(g / 255.0::double) + 0.0000123, 4) as g, round(avg(b / 255.0::double) + 0.0000123, 4) as b from rgb group by path, (pos // 8) * 2 + (pos % 4) // 2")
+@query("j12_downscale", R + " select path, cast((pos // 8) * 2 + (pos % 4) // 2 as int) as pos, " + ", ".join(f"round({_f32('avg(' + _f32(c + ' / 255.0::double') + ')')}, 4) as {c}" for c in "rgb") + " from rgb group by path, (pos // 8) * 2 + (pos % 4) // 2")
 def j12(spark, d):
     return _rgb_rows(pixels.downscale(rgb_images(spark, d), 2))
 
