@@ -69,6 +69,8 @@ PAGES = [
     ("<html><head><title>t</title><style>x{}</style></head><body><div class='header'>Site</div><div id='content'><p>Real &lt;one&gt;.<p>Two &amp;\n  more<br>line</div><div class='sidebar'>x</div>", "Real <one>.\n\nTwo & more line"),
     ("<article><header><h1>Title</h1></header><p>x&nbsp;y<ul><li>one<li>two</ul></article>", "Title\n\nx y\n\none\n\ntwo"),
     ("<p><b>Un<br><p>closed</p><script>var t='</p>';</script>", "Un\n\nclosed"),
+    ("<div class='site has-sidebar'><div class=menu>m</div><main><p>kept</p><div class=share>s</div></main></div>", "kept"),
+    ("<div class='page no-sidebar'><p>all of it</p><nav>n</nav></div>", "all of it"),
     ("", ""),
     (None, ""),
     ("just text", "just text"),
