@@ -86,11 +86,10 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
     return shared.repartition(parts, "doc").groupBy("doc").agg(F.collect_list("part").alias("parts"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc and the hashes of those of its texts that a smaller id has whole."""
-    sha = docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").alias("n")).where(F.col("n") >= WINDOW)
-    least = sha.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    return sha.join(least, "sha").where("doc_id > least").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set("sha").alias("shas"))
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """doc and the hashes of those of its texts that no smaller id has; a text not among them is a copy."""
+    sha = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= WINDOW)).select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    return sha.groupBy("sha").agg(F.min("doc_id").alias("doc")).groupBy("doc").agg(F.collect_set("sha").alias("shas"))
 
 
 class _Shared:
@@ -108,8 +107,8 @@ class _Shared:
         ]
 
 
-def _is_copy(text: bytes, shas: list[str] | None) -> bool:
-    return bool(shas) and hashlib.sha256(text).hexdigest() in shas
+def _is_copy(text: bytes, shas: list[bytes] | None) -> bool:
+    return not shas or hashlib.sha256(text).digest() not in shas
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +184,7 @@ class _Resolve:
         text = text.as_py() or b""
         if not doc.is_valid or len(text) < WINDOW:
             return self.done(text, None)
-        if shas.is_valid and _is_copy(text, shas.as_py()):
+        if _is_copy(text, shas.as_py()):
             return self.done(text, np.ones(len(text), bool))
         if not parts.is_valid:
             return self.done(text, None)
@@ -255,7 +254,7 @@ def resolved(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"), rest.alias("rest"))
     parts = partitions_for(docs)
     shared = written(candidates(texts, parts), "repeat-names")
-    whole = written(copies(texts), "repeat-copies")
+    whole = written(whole_texts(texts), "repeat-texts")
     info = shared.join(whole, "doc", "full").withColumnRenamed("doc", "doc_id")
     own = written(owned(texts.select("doc_id", "text").join(info.where("parts is not null"), "doc_id"), parts), "repeat-owned")
     info = info.join(own.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
