@@ -24,22 +24,28 @@ def parsed_sidecars(docs: DataFrame, doc: str = "doc") -> DataFrame:
     malformed, not_an_object, bad_version, future_version or bad_rating; it is null for good ones.
     Fields that aren't known stay in ``extra``, as JSON text by name.
     """
-    v = F.try_parse_json(F.col(doc))
-    fields = F.from_json(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.col(doc)), "map<string,string>")
+    # each step reads columns of the one before, so that a document is parsed once, not once for each field
+    rows = docs.withColumn("_v", F.try_parse_json(F.col(doc)))
+    rows = rows.withColumn("_object", F.schema_of_variant("_v").startswith("OBJECT"))
+    v = F.col("_v")
+    rows = rows.withColumns({
+        "_fields": F.from_json(F.when(F.col("_object"), F.col(doc)), "map<string,string>"), "_kind": F.schema_of_variant(F.try_variant_get(v, "$.version", "variant")),
+        "_version": F.try_variant_get(v, "$.version", "int"), "_rating": F.try_variant_get(v, "$.rating", "int"),
+    })
+    fields = F.col("_fields")
     raw_version, raw_rating = F.element_at(fields, "version"), F.element_at(fields, "rating")
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.version", "variant"))
-    version = F.when(raw_version.isNull(), 0).otherwise(F.try_variant_get(v, "$.version", "int"))
-    rating = F.coalesce(F.when(raw_rating.isNotNull(), F.try_variant_get(v, "$.rating", "int")), F.lit(0))
+    rows = rows.withColumns({"_has_version": raw_version.isNotNull(), "_version": F.when(raw_version.isNull(), 0).otherwise(F.col("_version")), "_rating": F.coalesce(F.when(raw_rating.isNotNull(), F.col("_rating")), F.lit(0))})
+    version, rating = F.col("_version"), F.col("_rating")
     error = (
         F.when(v.isNull(), "malformed")
-        .when(~F.schema_of_variant(v).startswith("OBJECT"), "not_an_object")
-        .when(raw_version.isNotNull() & ((kind != "BIGINT") | version.isNull() | (version < 0)), "bad_version")
+        .when(~F.col("_object"), "not_an_object")
+        .when(F.col("_has_version") & ((F.col("_kind") != "BIGINT") | version.isNull() | (version < 0)), "bad_version")
         .when(version > VERSION, "future_version")
         .when((rating > MAX_RATING) | (rating < 0), "bad_rating")
     )
     known = ("version", "rating", "adjustments", "tags", "exif")
-    return docs.select(
-        "*",
+    return rows.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
         version.alias("version"),
         rating.alias("doc_rating"),
         F.try_variant_get(v, "$.adjustments", "variant").alias("adjustments"),
