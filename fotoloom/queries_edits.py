@@ -76,7 +76,7 @@ def b15(spark, d):
 PRESET = """'<x crs:Exposure2012="+' || (idx % 5) || '.50" crs:Shadows2012="' || (idx % 90) || '" crs:Sharpness="' || (idx % 200) || '" crs:Temperature="' || (3000 + idx % 5000) || '" crs:HueAdjustmentRed="' || (idx % 40) || '"><crs:ToneCurvePV2012> <rdf:Seq><rdf:li>0, ' || (idx % 30) || '</rdf:li><rdf:li>255, 255</rdf:li></rdf:Seq> </crs:ToneCurvePV2012>'"""
 
 
-@query("b16_presets", W + "select idx, (idx % 5) + 0.5 as exposure, least(100.0, (idx % 90) * 1.5) as shadows, round(least(100.0, (idx % 200) / 150.0 * 100), 6) as sharpness, round(greatest(-100, least(100, -(1e6 / (3000 + idx % 5000) - 1e6 / 5500) / 150 * 100)), 6) as temperature, (idx % 40) * 0.75 as red_hue, cast(round((idx % 30) * 0.8) as int) as first_y, 'Imported Preset' as name from catalog")
+@query("b16_presets", W + "select idx, cast((idx % 5) + 0.5 as double) as exposure, cast(least(100.0, (idx % 90) * 1.5) as double) as shadows, round(least(100.0, (idx % 200) / 150.0 * 100), 6) as sharpness, round(greatest(-100, least(100, -(1e6 / (3000 + idx % 5000) - 1e6 / 5500) / 150 * 100)), 6) as temperature, cast((idx % 40) * 0.75 as double) as red_hue, cast(round((idx % 30) * 0.8) as int) as first_y, 'Imported Preset' as name from catalog")
 def b16(spark, d):
     m = F.col("m")
     rows = catalog(spark, d).withColumn("x", F.expr(PRESET)).withColumn("m", xmp.preset_adjustments(F.col("x")))

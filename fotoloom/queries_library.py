@@ -72,7 +72,7 @@ def b10(spark, d):
     return catalog(spark, d).select("idx", F.round(exif.gps_decimal(text, F.when(F.col("idx") % 2 == 0, "N").otherwise("S")), 6).alias("latitude"))
 
 
-@query("b11_white_balance", W + "select idx, k as kelvin, round(greatest(-100, least(100, (1e6 / 5500 - 1e6 / least(50000, greatest(2000, k))) / 150 * 100)), 6) as relative, round(least(50000, greatest(2000, 1e6 / (1e6 / 5500 - (idx % 40) / 100.0 * 150))), 6) as back from (select idx, case idx % 4 when 0 then 3000.0 + idx % 4000 when 1 then 5500.0 when 2 then 6000.0 else 2850.0 end as k from catalog)")
+@query("b11_white_balance", W + "select idx, cast(k as double) as kelvin, round(greatest(-100, least(100, (1e6 / 5500 - 1e6 / least(50000, greatest(2000, k))) / 150 * 100)), 6) as relative, round(least(50000, greatest(2000, 1e6 / (1e6 / 5500 - (idx % 40) / 100.0 * 150))), 6) as back from (select idx, case idx % 4 when 0 then 3000.0 + idx % 4000 when 1 then 5500.0 when 2 then 6000.0 else 2850.0 end as k from catalog)")
 def b11(spark, d):
     key = F.when(F.col("idx") % 4 == 0, (3000 + F.col("idx") % 4000).cast("string")).when(F.col("idx") % 4 == 1, "99 K")
     light = F.when(F.col("idx") % 4 == 2, "4").when(F.col("idx") % 4 == 3, "17")
