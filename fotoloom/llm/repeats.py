@@ -204,10 +204,13 @@ class _Resolve:
         gone = _covered(n, np.array(starts, np.int64), np.array(ends, np.int64)) if starts else None
         if asked:
             window = np.array(sorted(asked), np.int64)
-            if gone is not None:
-                # a window that is covered already isn't the first of its kind: nobody needs its row
-                inside = np.concatenate([[0], np.cumsum(gone)])
-                window = window[inside[window + WINDOW] - inside[window] < WINDOW]
+            if starts:
+                # a window inside one shared reach isn't the first of its kind: nobody needs its row (one
+                # that only several reaches cover may well be); positions ascend, so the last reach that
+                # starts before a window is the one that ends last
+                begin, end = np.array(starts, np.int64), np.array(ends, np.int64)
+                last = np.searchsorted(begin, window, side="right") - 1
+                window = window[(last < 0) | (end[last] < window + WINDOW)]
             if len(window):
                 return (*([None] * 5), text, starts, ends, window)
         return self.done(text, gone)

@@ -63,6 +63,22 @@ def test_same_as_all_windows(spark, seed):
     assert got == sorted(brute(rows), key=repr)
 
 
+def test_first_holder_of_a_window_that_two_reaches_cover(spark):
+    """Document 3 joins what 1 and 2 share; the window across the join is new there, and 4 repeats it."""
+    r = random.Random(5)
+    text = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    rows = []
+    for i in range(0, 160, 4):
+        a, b, s = text(300), text(300), text(20 + i // 8)
+        side = (WINDOW - len(s)) // 2 + 1
+        w = a[-side:] + s + b[:side]
+        rows += [(i, a + s), (i + 1, s + b), (i + 2, a + s + b), (i + 3, text(100) + w + text(100))]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA).repartition(3)
+    got = sorted(map(tuple, repeats.digests(df).collect()))
+    assert got == sorted(brute(rows))
+    assert all(n > 0 for doc, _, n, *_ in got if doc % 4 == 3)
+
+
 def test_text_keeps_other_columns_and_whole_characters(spark):
     p = "ééé " * 30
     df = spark.createDataFrame([(1, p + "one", "en", "s", 5, "k"), (2, "two " + p, "de", "t", 6, "k"), (3, None, None, None, None, None)], SCHEMA + ", rest string")
