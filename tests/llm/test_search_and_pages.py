@@ -53,6 +53,33 @@ def test_leaks_by_brute_force_and_planted(spark):
     assert d.leaks(table, empty).count() == 0 and d.without_leaks(table, empty).count() == 203
 
 
+def test_parts_of_long_items_and_short_items(spark):
+    r = random.Random(6)
+    text = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    sizes = {0: 65, 1: 80, 2: 96, 3: 97, 4: 150}
+    long = {k: [w.encode() for w in text(n)] for k, n in sizes.items()}
+    zh = "照片的颜色从哪里来"
+    items = [(k, b" ".join(v).decode()) for k, v in long.items()] + [(10, "Red-green Pixel!"), (11, zh), (12, "何时"), (13, " ?! ")]
+    docs, want, fill = [], set(), [b"x"] * 90
+    for k, own in long.items():
+        last = len(own) - d.STRIDE
+        for s in range(last + 1):
+            scores = [d.check(part, fill + own[s : s + d.STRIDE] + fill) for part in d.split(own)]
+            assert any(share >= d.LCS and answer >= d.ANSWER for share, answer in scores), (k, s)
+        for s in {0, last // 2, last}:
+            doc = 1000 * k + s
+            docs.append((doc, " ".join(text(90) + [w.decode() for w in own[s : s + d.STRIDE]] + text(90))))
+            want.add((doc, k))
+    docs += [(9000, "a red, green pixel here"), (9001, "red pixel green"), (9002, f"我们问：{zh}？没有人知道。"), (9003, "x何时y"), (9004, "green pixel"), (9005, "何"), (9006, "red green pixel"), *((9100 + n, " ".join(text(200))) for n in range(60))]
+    want |= {(9000, 10), (9006, 10), (9002, 11), (9003, 12)}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in d.leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    only = spark.createDataFrame([(10, "red green pixel")], "item_id long, text string")
+    assert {x["doc_id"] for x in d.leaks(table, only).collect()} == {9000, 9006}
+    assert d.without_leaks(table, only).count() == len(docs) - 2
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
