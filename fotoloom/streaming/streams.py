@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,15 +33,23 @@ def _kept(times, last):
     return out, last
 
 
-def dedupe_logs_batch(logs: DataFrame) -> DataFrame:
-    """level, message and ts of lines that weren't kept within 1.5 s before; each line's times are scanned in order."""
-    rows = logs.select("level", shortened().alias("message"), F.unix_millis("ts").alias("ms"))
+def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by level, message and ms; a line that goes on in the next batch keeps its last time."""
+    now, last = (), None
+    for batch in batches:
+        out = []
+        for line, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[:2]):
+            now, last = line, last if line == now else None
+            kept, last = _kept((ms for *_, ms in rows), last)
+            out += [(*line, ms) for ms in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["level", "message", "ms"])
 
-    def scan(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times = sorted(t for b in batches for t in b["ms"])
-        yield pd.DataFrame({"level": key[0], "message": key[1], "ms": _kept(times, None)[0]})
 
-    return rows.groupBy("level", "message").applyInPandas(lambda k, p: next(scan(k, iter([p]))), "level string, message string, ms long").select("level", "message", F.timestamp_millis("ms").alias("ts"))
+def dedupe_logs_batch(logs: DataFrame) -> DataFrame:
+    """level, message and ts of lines that weren't kept within 1.5 s before; sorted rows pass as a stream, no line's times are held at once."""
+    rows = logs.select("level", shortened().alias("message"), F.unix_millis("ts").alias("ms"))
+    rows = rows.repartition("level", "message").sortWithinPartitions("level", "message", "ms")
+    return rows.mapInArrow(_scan_lines, "level string, message string, ms long").select("level", "message", F.timestamp_millis("ms").alias("ts"))
 
 
 def dedupe_logs(stream: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -60,7 +70,7 @@ def dedupe_logs(stream: DataFrame, late: str = "10 seconds") -> DataFrame:
     return out.select("level", "message", F.timestamp_millis("ms").alias("ts"))
 
 
-def _progress(events: list[tuple[int, str, int]], total: int, done: int) -> tuple[list[tuple[int, int]], int, int]:
+def _progress(events: Iterable[tuple[int, str, int]], total: int, done: int) -> tuple[list[tuple[int, int]], int, int]:
     out = []
     for at, kind, n in events:
         total, done = (total + n, done) if kind == "add" else (total, done + n)
@@ -70,15 +80,23 @@ def _progress(events: list[tuple[int, str, int]], total: int, done: int) -> tupl
     return out, total, done
 
 
-def job_progress_batch(events: DataFrame) -> DataFrame:
-    """job_id, at and completed: each time that as many are done as were added; counting then starts anew."""
+def _scan_jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by job and time; a job that goes on in the next batch keeps its counts."""
+    now, total, done = (), 0, 0
+    for batch in batches:
+        found = []
+        for key, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[:1]):
+            if key != now:
+                now, total, done = key, 0, 0
+            out, total, done = _progress((r[1:] for r in rows), total, done)
+            found += [(*key, *x) for x in out]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["job_id", "at", "completed"])
 
-    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        out = _progress(list(zip(rows["at"], rows["kind"], rows["n"], strict=True)), 0, 0)[0]
-        return pd.DataFrame({"job_id": key[0], "at": pd.Series([a for a, _ in out], dtype="int64"), "completed": pd.Series([c for _, c in out], dtype="int64")})
 
-    return events.select("job_id", "at", "kind", "n").groupBy("job_id").applyInPandas(scan, "job_id long, at long, completed long")
+def job_progress_batch(events: DataFrame) -> DataFrame:
+    """job_id, at and completed: each time that as many are done as were added; counting then starts anew."""
+    rows = events.select(F.col("job_id").cast("long").alias("job_id"), F.col("at").cast("long").alias("at"), "kind", F.col("n").cast("long").alias("n"))
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "at", "kind", "n").mapInArrow(_scan_jobs, "job_id long, at long, completed long")
 
 
 def job_progress(stream: DataFrame) -> DataFrame:

@@ -79,6 +79,28 @@ def test_log_lines_in_batch(spark):
     assert sorted(out) == [("e", "x", 0), ("e", "x", 1500), ("e", "x", 3100), ("e", "y", 5), ("w", "x", 10)]
 
 
+def test_hot_lines_and_jobs_are_scanned_in_batches_not_as_one_frame(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    lines = [("e", "x" if k % 3 else f"m{k % 4}", k * 97 + (k % 7) * 400) for k in range(3000)] + [(None, "x", 5), (None, None, 5)]
+    logs = spark.createDataFrame(lines, "level string, message string, ms long").select("level", "message", F.timestamp_millis("ms").alias("ts")).repartition(5)
+    jobs = [(k % 3 // 2, k, "add" if k % 5 == 0 else "done", 3 if k % 5 == 0 else 1) for k in range(2000)] + [(None, 1, "add", 1), (None, 2, "done", 1)]
+    events = spark.createDataFrame(jobs, "job_id long, at long, kind string, n long").repartition(5)
+    try:
+        spark.conf.set(size, "50")
+        kept, ended = streams.dedupe_logs_batch(logs), streams.job_progress_batch(events)
+        for df in (kept, ended):
+            assert "FlatMapGroupsIn" not in df._jdf.queryExecution().toString()
+        got = [(r["level"], r["message"], r["ms"]) for r in kept.select("level", "message", F.unix_millis("ts").alias("ms")).collect()]
+        done = list(map(tuple, ended.collect()))
+    finally:
+        spark.conf.set(size, before)
+    want = [(*key, ms) for key in {x[:2] for x in lines} for ms in streams._kept(sorted(x[2] for x in lines if x[:2] == key), None)[0]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    want = [(job, *x) for job in {x[0] for x in jobs} for x in streams._progress(sorted(x[1:] for x in jobs if x[0] == job), 0, 0)[0]]
+    assert sorted(done, key=repr) == sorted(want, key=repr)
+
+
 def drain(stream, name, start):
     q = start(stream).start()
     q.processAllAvailable()
