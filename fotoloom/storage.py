@@ -43,9 +43,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table in ``buckets`` buckets of ``key``: joins on the key don't shuffle it again.
+
+    A bucket is what a partition of ``repartition(buckets, key)`` is, so a task writes one file.
+    """
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_folder(spark)}/{own}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(own)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.table(own)
+    out._written_to, out._table = path, own
+    return out
+
+
 def discard(table: DataFrame) -> None:
-    """Deletes a table that written() made and that no frame will read again."""
+    """Deletes a table that written() or bucketed() made and that no frame will read again."""
     spark = table.sparkSession
+    if hasattr(table, "_table"):
+        spark.sql(f"drop table if exists {table._table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
