@@ -71,15 +71,19 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads, by the optimizer's estimate; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size > 1 << 56 else size
+
+
 def partitions_for(df: DataFrame, mb_each: int = 24, least: int = 8, most: int = 50_000) -> int:
     """Partitions that hold about ``mb_each`` MB of the input files, by the optimizer's size estimate.
 
     Shuffles have a block for each pair of tasks, so there are ``most`` partitions from about 1 TB on;
     larger ones are sorted with spills and streamed to Python in batches.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = 0 if size > 1 << 56 else size  # frames that aren't from files have no estimate
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-known // (mb_each << 20))))
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size_of(df) // (mb_each << 20))))
 
 
 def numbered(rows: DataFrame, key: str, order: list[str], slot: str) -> DataFrame:
