@@ -28,7 +28,7 @@ _DUCK = {"s": "varchar", "epoch": "cast(epoch(o_orderdate) as bigint)", "fmt": "
 PATH = "case when copy_id is null then source_path else source_path || '?vc=' || copy_id end as path"
 
 CATALOG_SQL = (
-    "cat0 as (select " + ", ".join(e.format(**_DUCK) for e in _CATALOG) + " from orders where o_orderkey % 7 <> 5), "
+    "cat0 as (select " + ", ".join(e.format(**_DUCK) for e in _CATALOG) + " from orders), "
     f"catalog as (select *, {PATH}, case when tag_text is null then null else string_split(tag_text, '|') end as tags, "
     "regexp_extract(source_path, '^(.*)/[^/]*$', 1) as folder, regexp_extract(source_path, '([^/]*)$', 1) as name, source_path like '%.ARW' as is_raw from cat0)"
 )
@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a photo: idx, paths, times, rating, EXIF texts and tags."""
-    base = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 5").selectExpr(*[e.format(**_SPARK) for e in _CATALOG])
+    base = table(spark, sf_dir, "orders").selectExpr(*[e.format(**_SPARK) for e in _CATALOG])
     return base.selectExpr(
         "*", PATH, "split(tag_text, '[|]') as tags", "regexp_extract(source_path, '^(.*)/[^/]*$', 1) as folder", "substring_index(source_path, '/', -1) as name", "endswith(source_path, '.ARW') as is_raw",
     )
@@ -71,21 +71,21 @@ SIDECARS_SQL = CATALOG_SQL + f", sidecars as (select c.idx, c.source_path, c.cop
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """idx, source_path, copy_id, modified and doc, JSON text in good and bad forms."""
-    docs = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 5").selectExpr("o_orderkey as idx", f"{_doc(_SPARK)} as doc")
+    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey as idx", f"{_doc(_SPARK)} as doc")
     return catalog(spark, sf_dir).select("idx", "source_path", "copy_id", "modified").join(docs, "idx")
 
 
 TILES_SQL = "tiles as (select vec_id as img_id, cast(unnest(range(1, 65)) as int) as pos, unnest(list_transform(embedding, lambda x: cast(least(255, greatest(0, floor(128 + 400 * cast(x as double)))) as int))) as luma from embeddings)"
-TILES_DUP_SQL = TILES_SQL + ", tiles_dup as (select * from tiles union all select img_id + 1000000, pos, cast(least(255, luma + case when (pos * 7 + img_id) % 11 = 0 then 6 else 0 end) as int) from tiles where img_id % 4 = 0)"
+TILES_DUP_SQL = TILES_SQL + ", tiles_dup as (select * from tiles union all select img_id + 1000000, pos, cast(least(255, luma + case when (pos * 7 + img_id) % 11 = 0 then 6 else 0 end) as int) from tiles where img_id % 4 = 0 union all select img_id + 2000000, pos, luma from tiles where img_id % 10 < 2)"
 
 
 def images(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
-    """img_id, width, height and luma: grey 8x8 images, one row each; ``copies`` adds near copies."""
+    """img_id, width, height and luma: grey 8x8 images, one row each; ``copies`` adds near copies and equal ones."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * x.cast("double"))).cast("int")).cast("int")).alias("luma"))
     if copies:
         step = lambda v, i: F.least(F.lit(255), v + F.when(((i + 1) * 7 + F.col("img_id")) % 11 == 0, 6).otherwise(0)).cast("int")
         near = own.where("img_id % 4 = 0").withColumn("luma", F.transform("luma", step)).withColumn("img_id", F.col("img_id") + 1000000)
-        own = own.unionByName(near)
+        own = own.unionByName(near).unionByName(own.where("img_id % 10 < 2").withColumn("img_id", F.col("img_id") + 2000000))
     return own.select("img_id", F.lit(8).alias("width"), F.lit(8).alias("height"), "luma")
 
 

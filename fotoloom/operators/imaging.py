@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import configured
+
 LUMA = np.array([0.2126, 0.7152, 0.0722])
-BATCH = 64
 
 
 def per_image(images: DataFrame, key: str, column: str, helper: Callable, schema: str) -> DataFrame:
     """key, then what ``helper(array, width, height)`` gives: a tuple a row of output, any number an image."""
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    configured(images.sparkSession)
     kinds = [f.dataType.simpleString() for f in images.sparkSession.createDataFrame([], schema).schema]
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "float": pa.float32(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
     names = [f.name for f in images.sparkSession.createDataFrame([], schema).schema]
@@ -92,7 +93,8 @@ def _scopes(pixels: np.ndarray, w: int, h: int) -> list[tuple]:
     strip = (x / w * 82).astype(int) % 82
     cb, cr = 0.836 * (rgb @ np.array([-0.1146, -0.3854, 0.5])), 0.836 * (rgb @ np.array([0.5, -0.4542, -0.0458]))
     far = np.maximum(np.sqrt(cb * cb + cr * cr) / 127, 1)
-    vx, vy = np.clip(cb / far + 128, 0, 255).astype(int), np.clip(128 - cr / far, 0, 255).astype(int)
+    # six digits, so that whole numbers don't depend on the order of sums
+    vx, vy = (np.clip(np.round(v, 6), 0, 255).astype(int) for v in (cb / far + 128, 128 - cr / far))
     places = [(name, 255 - c, column) for name, c in zip(("red", "green", "blue"), rgb.T, strict=True)] + [("luma", 255 - luma8(rgb), column)]
     places += [("parade", np.concatenate([255 - c for c in rgb.T]), np.concatenate([strip, 87 + strip, 174 + strip])), ("vectorscope", vy, vx)]
     out = []

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import configured
 from .edits import DEFAULTS, SCALES, SECTIONS
-from .imaging import BATCH, LUMA
+from .imaging import LUMA
 
 Step = Callable[[np.ndarray], np.ndarray]
 
@@ -281,7 +282,7 @@ def range_mask_values(c: np.ndarray, target: tuple, tolerance: float, by: str =
 
 def apply(images: DataFrame, step: Callable[..., np.ndarray], with_size: bool = False, column: str = "pixels", kind: str = "array<float>") -> DataFrame:
     """``images`` with what the step makes of the pixels, in their place or as another column instead of them."""
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    configured(images.sparkSession)
     rest = [c for c in images.columns if c not in ("pixels", column)]
     arrow = pa.list_(pa.float32()) if kind == "array<float>" else pa.list_(pa.int32())
 
@@ -300,7 +301,7 @@ def apply(images: DataFrame, step: Callable[..., np.ndarray], with_size: bool =
 
 def downscale(images: DataFrame, max_dim: int) -> DataFrame:
     """Images of at most ``max_dim`` a side, by means of blocks; smaller ones stay as they are."""
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    configured(images.sparkSession)
     rest = [c for c in images.columns if c not in ("pixels", "width", "height")]
 
     def shrink(c: np.ndarray, w: int, h: int) -> tuple[np.ndarray, int, int]:
@@ -338,7 +339,7 @@ def focus_stack(frames: DataFrame, tile: int = 8) -> DataFrame:
     Scores go ahead of pixels: the best frame of each (stack, tile) is found from small rows, then the
     winners' pixels alone are joined back.
     """
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    configured(frames.sparkSession)
     schema = "stack string, frame int, y int, x int, score double, pixels array<float>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +408,7 @@ def steps_of(document: dict, is_raw: bool, w: int, h: int, lut: np.ndarray | Non
 def grade(images: DataFrame, documents: DataFrame, lut: np.ndarray | None = None, key: str = "path") -> DataFrame:
     """``images`` (path, width, height, pixels, is_raw) after their documents (path, doc: JSON of adjustments)."""
     joined = images.join(documents.select(key, F.col("doc").alias("_doc")), key, "left")
-    joined.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    configured(joined.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,9 +32,8 @@ def folder_groups(catalog: DataFrame, base: str) -> DataFrame:
 
 def closure(nodes: DataFrame) -> DataFrame:
     """(id, ancestor) pairs, each node being its own ancestor; ``nodes`` has id and parent_id."""
-    nodes.createOrReplaceTempView("_fotoloom_nodes")
     return nodes.sparkSession.sql(
-        "with recursive up(id, ancestor) as (select id, id from _fotoloom_nodes union all select up.id, n.parent_id from up join _fotoloom_nodes n on n.id = up.ancestor where n.parent_id is not null) select * from up"
+        "with recursive up(id, ancestor) as (select id, id from {nodes} union all select up.id, n.parent_id from up join {nodes} n on n.id = up.ancestor where n.parent_id is not null) select * from up", nodes=nodes
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .fixtures import CATALOG_SQL as C
@@ -263,8 +265,33 @@ def d10(spark, d):
 
 @query("d13_resolve_lenses")
 def d13(spark, d):
-    photos = catalog(spark, d).select("idx", "make", "lens", F.col("focal_length").substr(1, 3).try_cast("double").alias("focal"), F.lit(2.8).alias("aperture"), F.lit(5.0).alias("distance"), F.when(F.col("idx") % 4 == 0, "manual").otherwise("auto").alias("lens_mode"))
-    return lens.resolve_lens_for_edits(photos, _lens_names(spark, d), _calib(spark, d))
+    i = F.col("idx")
+    photos = catalog(spark, d).select("idx", "make", "lens", F.col("focal_length").substr(1, 3).try_cast("double").alias("focal"), F.lit(2.8).alias("aperture"), F.lit(5.0).alias("distance"), (i % 6 != 0).alias("has_exif"))
+    mode = F.when(i % 4 == 0, F.create_map(F.lit("lensCorrectionMode"), F.lit('"manual"'), F.lit("lensMaker"), F.lit('"Sony"'))).otherwise(F.create_map(F.lit("exposure"), F.lit("1.0"), F.lit("lensDistortionParams"), F.lit("{}")))
+    lenses = _lens_names(spark, d).selectExpr("*", "model as short", "model as canonical", "1.0D as cropfactor")
+    return lens.resolve_lens_for_edits(photos.withColumn("adjustments", mode), lenses, _calib(spark, d)).select("idx", _pairs(photos))
+
+
+LENS_FILES = """l as (select p_partkey % 60 as lens, min(p_size) as focal, max(p_partkey % 90) as k from part group by 1)"""
+
+
+@query("a7_lens_files", f"with {LENS_FILES} select case lens % 3 when 0 then 'Sony' when 1 then 'Nikon' else 'Canon' end as maker, 'FE ' || lens || 'mm' as model, t.kind, cast(focal + 1 as double) as focal, case t.kind when 'distortion' then round(k / 997.0::double, 6) else 1.001 end as p1 from l, (values ('distortion'), ('tca')) t(kind)")
+def a7(spark, d):
+    """Lens files are written as XML, one lens an element, and read as a database."""
+    from .sources.files import read_lens_db
+    from .storage import shared_folder
+
+    l = table(spark, d, "part").groupBy((F.col("p_partkey") % 60).alias("lens")).agg(F.min("p_size").alias("focal"), F.max(F.col("p_partkey") % 90).alias("k"))
+    maker = F.when(F.col("lens") % 3 == 0, "Sony").when(F.col("lens") % 3 == 1, "Nikon").otherwise("Canon")
+    name = lambda c, lang=None: F.struct(c.alias("_VALUE"), F.lit(lang).cast("string").alias("_lang"))
+    focal = (F.col("focal") + 1).cast("double").alias("_focal")
+    bend = F.array(F.struct(F.lit("ptlens").alias("_model"), focal, (F.col("k") / 997.0).alias("_a"), F.lit(0.0).alias("_b"), F.lit(0.0).alias("_c")))
+    tca = F.array(F.struct(F.lit("linear").alias("_model"), focal, F.lit(1.001).alias("_vr"), F.lit(0.999).alias("_vb")))
+    files = l.select(F.array(name(maker)).alias("maker"), F.array(name(F.concat(F.lit("C "), F.col("lens"))), name(F.concat(F.lit("FE "), F.col("lens"), F.lit("mm")), "en")).alias("model"), F.lit(1.0).alias("cropfactor"), F.struct(bend.alias("distortion"), tca.alias("tca")).alias("calibration"))
+    folder = f"{shared_folder(spark)}/lens-files-{uuid.uuid4().hex}"
+    files.write.format("xml").option("rowTag", "lens").option("rootTag", "lensdatabase").save(folder)
+    lenses, calib = read_lens_db(spark, folder)
+    return lenses.join(calib, "lens_id").select("maker", lenses["model"], "kind", "focal", F.round("p1", 6).alias("p1"))
 
 
 NAMES = "l as (select p_partkey as lens_id, 'm' || p_partkey % 5 as maker, 's' || p_partkey % 300 as short, 'Maker c' || p_partkey % 700 as canonical, 1.0 + p_partkey % 3 * 0.3 as crop from part)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import storage
 from .fixtures import CATALOG_SQL as C
 from .fixtures import NUMBERS_SQL, SIDECARS_SQL, catalog, sidecars, table
 from .functions import exif, paths
@@ -119,10 +120,8 @@ def c4(spark, d):
 
 @query("c5_sort", N + "select idx, row_number() over (order by shutter_n desc, name || case when copy_id is null then '' else '?vc=' || copy_id end, path) as rank from numbers")
 def c5(spark, d):
-    from pyspark.sql import Window
-
-    rows = search.numbers(catalog(spark, d))
-    return rows.select("idx", F.row_number().over(Window.orderBy(*search.sort_columns("shutter_speed", True))).cast("long").alias("rank"))
+    rows = search.numbers(catalog(spark, d)).withColumn("_all", F.lit(0))
+    return storage.numbered(rows, "_all", search.sort_columns("shutter_speed", True), "at").select("idx", (F.col("at") + 1).alias("rank"))
 
 
 @query("c6_page", N + "select idx, path from numbers order by modified desc, path limit 40 offset 20")
@@ -186,11 +185,28 @@ ALBUMS = ", members as (select album_id, row_number() over (partition by album_i
 
 
 def _members(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "lineitem").join(catalog(spark, d).select("idx", "path"), F.col("l_orderkey") == F.col("idx"))
     rows = rows.groupBy((F.col("l_suppkey") % 25).alias("album_id"), "path").agg(F.min("l_orderkey").alias("k"), F.min("l_linenumber").alias("n"))
-    return rows.select("album_id", F.row_number().over(Window.partitionBy("album_id").orderBy("k", "n")).cast("long").alias("pos"), "path")
+    return storage.numbered(rows, "album_id", ["k", "n"], "at").select("album_id", (F.col("at") + 1).alias("pos"), "path")
+
+
+def _album_tables(spark, d):
+    """Albums of nations in groups of regions, written as JSON documents of a region each and read again."""
+    from .sources import files
+
+    m = _members(spark, d).withColumn("album_id", F.concat(F.lit("n"), "album_id"))
+    written = files.album_documents(_nodes(spark, d), m)
+    return files.albums(written.select(F.concat(F.lit("["), "doc", F.lit("]")).alias("tree")))
+
+
+@query("a9_album_members", W + ALBUMS + " select 'n' || album_id as album_id, cast(pos as int) as pos, path from members")
+def a9(spark, d):
+    return _album_tables(spark, d)[1]
+
+
+@query("a9_album_nodes", "select 'n' || n_nationkey as id, 'r' || n_regionkey as parent_id, 'album' as kind, n_name as name from nation union all select 'r' || r_regionkey, null, 'group', r_name from region")
+def a9n(spark, d):
+    return _album_tables(spark, d)[0].drop("pos")
 
 
 @query("d3_album_images", W + ALBUMS + " select m.album_id, m.pos, m.path, c.rating from members m join catalog c using (path)")

@@ -33,7 +33,8 @@ def e10l(spark, d):
 
 @query("e10_histogram")
 def e10h(spark, d):
-    return imaging.histogram(_exact(spark, d)).select("path", "channel", F.size("bins").alias("bins"), F.round(F.aggregate("bins", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    rows = imaging.histogram(_exact(spark, d)).select("path", "channel", F.posexplode("bins").alias("bin", "value"))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query("e11_waveform", R + f", p as (select path, pos % 4 as x, r, g, b, {LUMA8} as l from rgb), c as (select path, 'red' as kind, 255 - r as y, x * 64 as x from p union all select path, 'green', 255 - g, x * 64 from p union all select path, 'blue', 255 - b, x * 64 from p union all select path, 'luma', 255 - l, x * 64 from p) select path, kind, cast(y as int) as y, cast(x as int) as x, count(*) as n from c group by 1, 2, 3, 4")
@@ -46,6 +47,15 @@ def e11p(spark, d):
     return imaging.waveform(_exact(spark, d), "parade")
 
 
+CHROMA = "cast(0.836 as double) * (cast({} as double) * r + cast({} as double) * g + cast({} as double) * b)"
+
+
+@query("e11_vectorscope", R + f", c as (select path, {CHROMA.format(-0.1146, -0.3854, 0.5)} as cb, {CHROMA.format(0.5, -0.4542, -0.0458)} as cr from rgb), f as (select *, greatest(sqrt(cb * cb + cr * cr) / 127, 1) as far from c), "
+    "v as (select path, cast(floor(least(255, greatest(0, round(128 - cr / far, 6)))) as int) as y, cast(floor(least(255, greatest(0, round(cb / far + 128, 6)))) as int) as x from f) select path, 'vectorscope' as kind, y, x, count(*) as n from v group by path, y, x")
+def e11v(spark, d):
+    return imaging.waveform(_exact(spark, d), "vectorscope")
+
+
 @query("e12_exposure", T + "select img_id, round(greatest(0, 1 - 5 * count(*) filter (luma < 5 or luma >= 250) / 64.0), 6) as exposure from tiles group by 1")
 def e12(spark, d):
     return imaging.exposure_metric(images(spark, d)).select("img_id", F.round("exposure", 6).alias("exposure"))
@@ -113,14 +123,20 @@ def _hashes(spark, d, copies):
     return imaging.double_gradient_hash(images(spark, d, copies)).select(F.col("img_id").alias("idx"), "words")
 
 
-@query("i2_hamming", _near(112, "tiles", TILES_SQL) + " select a, b, cast(distance as int) as distance from pairs where b = a + 1")
+@query("i2_hamming", _near(112, "tiles", TILES_SQL) + " select a, b, cast(distance as int) as distance from pairs")
 def i2(spark, d):
-    h = _hashes(spark, d, False)
-    n = h.select((F.col("idx") - 1).alias("idx"), F.col("words").alias("w2"))
-    return h.join(n, "idx").select(F.col("idx").alias("a"), (F.col("idx") + 1).alias("b"), similar.hamming(F.col("words"), F.col("w2")).cast("int").alias("distance"))
+    return similar.similar_pairs(_hashes(spark, d, False), 112)
+
+
+#: Pairs of the least index of each hash, and each copy with the one that stands for it.
+BY_HASH = (
+    ", firsts as (select min(img_id) as f, h from hashes group by h) "
+    "select a, b, cast(distance as int) as distance from pairs where a in (select f from firsts) and b in (select f from firsts) "
+    "union all select f, img_id, 0 from hashes join firsts using (h) where img_id > f"
+)
 
 
-@query("i3_pairs_banded", _near(6, "tiles_dup", TILES_DUP_SQL) + " select a, b, cast(distance as int) as distance from pairs")
+@query("i3_pairs_banded", _near(6, "tiles_dup", TILES_DUP_SQL) + BY_HASH)
 def i3(spark, d):
     return similar.similar_pairs(_hashes(spark, d, True), 6).withColumn("distance", F.col("distance").cast("int"))
 
@@ -130,15 +146,28 @@ def i3b(spark, d):
     return similar.similar_pairs(_hashes(spark, d, False), 34)
 
 
-GROUPS = ", up(idx, label) as (select b, a from pairs union select p.b, u.label from up u join pairs p on p.a = u.idx), labels as (select idx, min(label) as label from (select idx, label from up union all select a, a from pairs union all select b, b from pairs) group by 1)"
+GROUPS = (
+    ", up(idx, label) as (select b, a from pairs union select p.b, u.label from up u join pairs p on p.a = u.idx), "
+    "every as (select idx, min(label) as label from (select idx, label from up union all select a, a from pairs union all select b, b from pairs) group by 1), "
+    "labels as (select idx, label from every where label in (select label from every group by 1 having count(*) > 1))"
+)
 
 
-@query("i4_groups", _near(34, "tiles", TILES_SQL).replace("with ", "with recursive ", 1) + GROUPS + " select idx, label from labels")
+def _groups_sql(t, tiles, cte):
+    return _near(t, tiles, cte).replace("with ", "with recursive ", 1) + GROUPS
+
+
+@query("i4_groups", _groups_sql(34, "tiles", TILES_SQL) + " select idx, label from labels")
 def i4(spark, d):
     return similar.similar_groups(similar.similar_pairs(_hashes(spark, d, False), 34))
 
 
-@query("f9_representative", _near(34, "tiles", TILES_SQL).replace("with ", "with recursive ", 1) + GROUPS + QUALITY.replace(T, "").replace(", g as", ", g as", 1) + " select idx, cast(row_number() over (partition by label order by round(quality, 9) desc, idx) as int) as place from labels join q on img_id = idx")
+@query("i4_groups_with_copies", _groups_sql(6, "tiles_dup", TILES_DUP_SQL) + " select idx, label from labels")
+def i4c(spark, d):
+    return similar.similar_groups(similar.similar_pairs(_hashes(spark, d, True), 6))
+
+
+@query("f9_representative", _groups_sql(34, "tiles", TILES_SQL) + QUALITY.replace(T, "").replace(", g as", ", g as", 1) + " select idx, cast(row_number() over (partition by label order by round(quality, 9) desc, idx) as int) as place from labels join q on img_id = idx")
 def f9(spark, d):
     groups = similar.similar_groups(similar.similar_pairs(_hashes(spark, d, False), 34))
     return similar.representative(groups, _measures(spark, d).select(F.col("img_id").alias("idx"), F.round("quality", 9).alias("quality"))).select("idx", F.col("place").cast("int").alias("place"))
@@ -149,9 +178,16 @@ def i5(spark, d):
     return imaging.blurry(_measures(spark, d), 60000).select("img_id", F.round("sharpness", 6).alias("sharpness"))
 
 
-@query("i6_cull")
+CULLED = (
+    _groups_sql(28, "tiles_dup", TILES_DUP_SQL) + QUALITY.replace(T, "").replace("from tiles ", "from tiles_dup ").replace("from tiles)", "from tiles_dup)")
+    + ", places as (select idx, label, row_number() over (partition by label order by round(quality, 9) desc, idx) as place from labels join q on img_id = idx) "
+    "select img_id as idx, case when place > 1 then 'duplicate' else 'keep' end as verdict, label, round(quality, 6) as quality from q left join places on idx = img_id"
+)
+
+
+@query("i6_cull", CULLED)
 def i6(spark, d):
-    return similar.cull(images(spark, d, True), 6).select("idx", "verdict", "label", F.round("quality", 6).alias("quality"))
+    return similar.cull(images(spark, d, True)).select("idx", "verdict", "label", F.round("quality", 6).alias("quality"))
 
 
 @query("w2_cull_and_tag")
@@ -160,8 +196,8 @@ def w2(spark, d):
     from .queries_library import tag_scores
 
     tree = spark.createDataFrame([("label1", "first"), ("label2", "second")], "child string, parent string")
-    verdicts, picks = cull_and_tag(images(spark, d, True), tag_scores(spark, d), tree, 6)
-    return verdicts.where("idx < 1000000").join(picks.withColumn("idx", F.regexp_extract("path", "([0-9]+)$", 1).cast("long")), "idx").select("idx", "verdict", F.array_join("tags", "|").alias("tags"))
+    verdicts, picks = cull_and_tag(images(spark, d, True), tag_scores(spark, d), tree)
+    return verdicts.join(picks.withColumn("idx", F.regexp_extract("path", "([0-9]+)$", 1).cast("long")), "idx", "left").select("idx", "verdict", F.array_join("tags", "|").alias("tags"))
 
 
 def _f32(x):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.benchmark import bench_json
+from ..storage import written
 
 
 def list_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -26,7 +27,7 @@ def read_lens_db(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     raw = spark.read.format("xml").option("rowTag", "lens").schema(LENS_SCHEMA).load(folder)
     named = lambda c, lang: F.try_element_at(F.filter(c, lambda x: x["_lang"].isNotNull() == F.lit(lang)), F.lit(1))["_VALUE"]
     rows = raw.select(named("maker", False).alias("maker"), F.coalesce(named("model", True), named("model", False)).alias("model"), named("model", False).alias("canonical"), "cropfactor", "calibration").where("maker is not null and model is not null")
-    rows = rows.withColumn("lens_id", F.xxhash64("maker", "canonical", "cropfactor"))
+    rows = rows.withColumn("lens_id", F.xxhash64("maker", "canonical", "cropfactor")).withColumn("pos", F.monotonically_increasing_id())
     parts = []
     for kind in ("distortion", "tca", "vignetting"):
         e = rows.select("lens_id", F.explode(f"calibration.{kind}").alias("c"))
@@ -42,33 +43,60 @@ def read_lens_db(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return rows.drop("calibration"), parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def read_albums(spark: SparkSession, tree: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members) of a nested album document.  The tree is small; members become a table."""
-    nodes, members = [], []
+NODE_SCHEMA = "array<struct<id string, name string, images array<string>, children string>>"
 
-    def walk(items: list, parent: str | None) -> None:
-        for item in items:
-            kind = "group" if "children" in item else "album"
-            nodes.append((item["id"], parent, kind, item["name"]))
-            members.extend((item["id"], k, p) for k, p in enumerate(item.get("images", []), 1))
-            walk(item.get("children", []), item["id"])
 
-    walk(json.loads(tree), None)
-    return spark.createDataFrame(nodes, "id string, parent_id string, kind string, name string"), spark.createDataFrame(members, "album_id string, pos int, path string")
+def albums(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, members) of nested album documents, JSON texts in column ``tree``; one pass a level of nesting.
 
+    nodes has id, parent_id, kind, name and pos among its siblings; members album_id, pos and path.
+    """
+    level = documents.select(F.lit(None).cast("string").alias("parent_id"), F.col("tree").alias("below"))
+    levels: list[DataFrame] = []
+    while True:
+        found = level.select("parent_id", F.posexplode(F.from_json("below", NODE_SCHEMA)).alias("at", "n")).select("parent_id", (F.col("at") + 1).alias("pos"), "n.*")
+        found = written(found, "album-level")
+        levels.append(found)
+        level = found.where("children is not null").select(F.col("id").alias("parent_id"), F.col("children").alias("below"))
+        if level.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, levels)
+    nodes = every.select("id", "parent_id", F.when(F.col("children").isNull(), "album").otherwise("group").alias("kind"), "name", "pos")
+    members = every.where("children is null").select(F.col("id").alias("album_id"), F.posexplode("images").alias("at", "path"))
+    return nodes, members.select("album_id", (F.col("at") + 1).alias("pos"), "path")
 
-def write_albums(nodes: DataFrame, members: DataFrame) -> str:
-    """The nested document again; the albums of one library fit in one document by its nature."""
-    images: dict = {}
-    for r in members.orderBy("album_id", "pos").toLocalIterator():
-        images.setdefault(r["album_id"], []).append(r["path"])
-    rows = [r.asDict() for r in nodes.toLocalIterator()]
 
-    def below(parent: str | None) -> list:
-        own = [r for r in rows if r["parent_id"] == parent]
-        return [{"id": r["id"], "name": r["name"], **({"children": below(r["id"])} if r["kind"] == "group" else {"images": images.get(r["id"], [])})} for r in own]
+def read_albums(spark: SparkSession, tree: str) -> tuple[DataFrame, DataFrame]:
+    """As ``albums``, of one document."""
+    return albums(spark.createDataFrame([(tree,)], "tree string"))
+
+
+def album_documents(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """id, pos and doc: JSON of each node without a parent, put together from the leaves up, a pass a level.
+
+    An album's paths and a group's parts are one JSON text by the format.  Siblings are in the order
+    of pos, where nodes have it, then of id.
+    """
+    text = lambda c: F.regexp_extract(F.to_json(F.array(F.col(c))), r"(?s)^\[(.*)\]$", 1)
+    nodes = nodes if "pos" in nodes.columns else nodes.withColumn("pos", F.lit(0))
+    images = members.groupBy("album_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text("path").alias("p")))), lambda x: x["p"]), ", ").alias("images"))
+    head = F.concat(F.lit('{"id": '), text("id"), F.lit(', "name": '), text("name"))
+    rows = nodes.join(images, F.col("id") == F.col("album_id"), "left").select("id", "parent_id", "kind", "pos", head.alias("head"), F.coalesce("images", F.lit("")).alias("images"))
+    album = F.concat("head", F.lit(', "images": ['), "images", F.lit("]}"))
+    # open groups wait for all of their parts
+    now = written(rows.select("id", "parent_id", "pos", "head", F.when(F.col("kind") != "group", album).alias("doc")), "album-docs")
+    while not now.where("doc is null").isEmpty():
+        parts = now.where("parent_id is not null").groupBy(F.col("parent_id").alias("_up")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "doc"))), lambda x: x["doc"]), ", ").alias("_in"), F.bool_and(F.col("doc").isNotNull()).alias("_all"))
+        joined = now.join(parts, F.col("id") == F.col("_up"), "left")
+        group = F.when(F.coalesce("_all", F.lit(True)), F.concat("head", F.lit(', "children": ['), F.coalesce("_in", F.lit("")), F.lit("]}")))
+        now = written(joined.select("id", "parent_id", "pos", "head", F.coalesce("doc", group).alias("doc")), "album-docs")
+    return now.where("parent_id is null").select("id", "pos", "doc")
 
-    return json.dumps(below(None))
+
+def write_albums(nodes: DataFrame, members: DataFrame) -> str:
+    """The nested document of one library again, a text by the format."""
+    found = album_documents(nodes, members).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "doc"))), lambda x: x["doc"]), ", ").alias("doc")).first()
+    return f"[{found['doc'] or ''}]"
 
 
 def read_bench_log(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -86,7 +86,7 @@ def partitions_for(df: DataFrame, mb_each: int = 24, least: int = 8, most: int =
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size_of(df) // (mb_each << 20))))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], slot: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str | Column], slot: str) -> DataFrame:
     """Adds a gapless number from 0 within each key, without bringing a key to one task.
 
     Rows are range-partitioned by (key, order) and written, with Spark's row ids of the sorted

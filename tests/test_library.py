@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,8 +92,40 @@ def test_tag_jobs_are_idempotent(spark, photos):
 
 
 def test_forward_groups(spark):
-    pairs = spark.createDataFrame([(0, 5), (3, 5), (7, 9), (9, 12)], "a long, b long")
-    assert {r["idx"]: r["label"] for r in similar.similar_groups(pairs).collect()} == {0: 0, 3: 3, 5: 0, 7: 7, 9: 7, 12: 7}
+    pairs = spark.createDataFrame([(0, 5, 1), (3, 5, 1), (7, 9, 1), (9, 12, 1)], "a long, b long, distance int")
+    assert {r["idx"]: r["label"] for r in similar.similar_groups(pairs).collect()} == {0: 0, 5: 0, 7: 7, 9: 7, 12: 7}
+
+
+def test_groups_of_a_long_chain(spark):
+    pairs = spark.range(5000).selectExpr("id as a", "id + 1 as b", "1 as distance")
+    got = similar.similar_groups(pairs)
+    assert (got.count(), [r[0] for r in got.select("label").distinct().collect()]) == (5001, [0])
+    assert similar.similar_groups(pairs.where("a < 0")).count() == 0
+
+
+def test_groups_with_copies_by_search_from_each_picture(spark):
+    r = random.Random(3)
+    for case in range(3):
+        base = [r.getrandbits(48) for _ in range(5)]
+        words = [r.choice(base) for _ in range(15)] + [w ^ (1 << r.randrange(48)) ^ (1 << r.randrange(48)) for w in base * 3]
+        r.shuffle(words)
+        if case == 0:  # 2 and 4 are equal, 3 is near both, 1 is near 3 only
+            words = [0b111111111, 0b1, 0b11111, 0b1]
+        near = [[i < j and (words[i] ^ words[j]).bit_count() <= 4 for j in range(len(words))] for i in range(len(words))]
+        want, seen = {}, set()
+        for i in range(len(words)):
+            queue, own = [i] if i not in seen else [], []
+            while queue:
+                own.append(x := queue.pop(0))
+                seen.add(x)
+                new = [j for j in range(len(words)) if near[x][j] and j not in seen]
+                seen |= set(new)
+                queue += new
+            want |= {x: i for x in own} if len(own) > 1 else {}
+        hashes = spark.createDataFrame([(i, [w, 0]) for i, w in enumerate(words)], "idx long, words array<bigint>")
+        for bits in (112, 40):  # the banded and the blocked form
+            got = {x["idx"]: x["label"] for x in similar.similar_groups(similar.similar_pairs(hashes, 4, bits)).collect()}
+            assert got == want, (case, bits)
 
 
 def test_edited_rules(spark):
