@@ -10,8 +10,10 @@ covering code of radius 1: the perfect Hamming code of length 31, times a free l
 fingerprint is at home at the anchor within the covering radius, and visits every anchor within the
 radius plus the threshold of the half, 1 + 1 = 2: at most 17 of 2 ** 27.  Two halves that differ in
 1 bit meet at the home of either.  Homes and visitors of an anchor are compared, and only a spanning
-forest of the links is emitted.  An anchor can't gather an unbounded group: it sees distinct
-fingerprints near one half only, and copies share one.
+forest of the links is emitted.  Copies share a fingerprint, but texts of one template may share a
+half, so an anchor can be large.  A task holds ``HELD`` rows of an anchor; those of larger ones are
+dealt out anew by the other half: cut in 5, two cuts are equal in fingerprints that differ in 3 bits,
+so each goes to the 10 pairs of its cuts and is compared there.
 
 Null ids: a text links and is linked, but ids of components ignore it (null if nothing else is there).
 Null and empty texts have fingerprint 0 and link like any other.  Repeated rows get equal results.
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions_for, small_batches, written
+from .common import as_bytes, discard, partitions_for, small_batches, written
 from .components import components
 
 MAX_BITS = 3
@@ -35,6 +37,7 @@ SHINGLE = 3
 SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
+HELD = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -118,38 +121,77 @@ def forest(prints: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return prints[other], prints[label[other]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor; the last anchor of a batch waits for the next batch."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+class _Links:
+    """Of rows sorted by key, the links of each key; the last key of a batch waits for the next batch.
 
-    def work(key: np.ndarray, prints: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+    Rows of keys with more than ``held`` rows aren't compared: they come out as they are, with a key.
+    """
+
+    def __init__(self, held: int | None) -> None:
+        self.held = held
+
+    def work(self, key: np.ndarray, prints: np.ndarray, home: np.ndarray, pass_on: int | None) -> pa.RecordBatch:
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        late = [np.zeros(0, np.int64)]
         if len(key):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(starts, len(key)))
             homes = np.add.reduceat(home.astype(np.int64), starts)
-            for s, n in zip(starts[(size > 1) & (homes > 0)].tolist(), size[(size > 1) & (homes > 0)].tolist(), strict=True):
-                u, v = forest(prints[s : s + n].view(np.uint64), home[s : s + n])
-                us.append(u.view(np.int64))
-                vs.append(v.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            for s, n, h in zip(starts.tolist(), size.tolist(), homes.tolist(), strict=True):
+                if self.held and (n > self.held or key[s] == pass_on):
+                    late.append(np.arange(s, s + n))
+                elif n > 1 and h > 0:
+                    u, v = forest(prints[s : s + n].view(np.uint64), home[s : s + n])
+                    us.append(u.view(np.int64))
+                    vs.append(v.view(np.int64))
+        u, at = np.concatenate(us), np.concatenate(late)
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([u, prints[at]])), pa.chunked_array([pa.array(np.concatenate(vs)), none(len(at))]).combine_chunks(), pa.chunked_array([none(len(u)), pa.array(key[at])]).combine_chunks(), pa.array(np.concatenate([np.zeros(len(u), bool), home[at]]))],
+            ["u", "v", "anchor", "home"],
+        )
 
-    for batch in batches:
-        if batch.num_rows:
-            key, prints, home = (np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest))
-            cut = len(key) if key[0] == key[-1] else int(np.searchsorted(key, key[-1]))
-            if key[0] == key[-1]:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        pass_on = None  # a key whose first rows were passed on
+        for batch in batches:
+            if batch.num_rows:
+                key, prints, home = (np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest))
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield self.work(key[:cut], prints[:cut], home[:cut], pass_on)
+                    key, prints, home = key[cut:], prints[cut:], home[cut:]
                 rest = [key, prints, home]
-                continue
-            rest = [key[cut:], prints[cut:], home[cut:]]
-            yield work(key[:cut], prints[:cut], home[:cut])
-    yield work(*rest)
+                if self.held and (len(key) > self.held or key[-1] == pass_on):
+                    pass_on = int(key[-1])
+                    yield self.work(*rest, pass_on)
+                    rest = [x[:0] for x in rest]
+        yield self.work(*rest, pass_on)
+
+
+#: Bits of a half that belong to each of its five cuts.
+_CUTS = [np.uint64(((1 << (32 * (k + 1) // 5)) - 1) ^ ((1 << (32 * k // 5)) - 1)) for k in range(5)]
+
+
+def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large anchors under ten keys each, of the anchor and two cuts of the half that isn't the anchor's."""
+    for batch in batches:
+        prints, key, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        anchor = key.view(np.uint64)
+        other = np.where(anchor >> np.uint64(32) == 0, prints.view(np.uint64) >> np.uint64(32), prints.view(np.uint64) & np.uint64(0xFFFFFFFF))
+        for k, (i, j) in enumerate((i, j) for i in range(5) for j in range(i)):
+            sub = (anchor * np.uint64(0x9E3779B97F4A7C15)) ^ ((other & (_CUTS[i] | _CUTS[j])) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+            yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), pa.array(prints), pa.array(home)], ["anchor", "print", "home"])
 
 
 def links(prints: DataFrame, parts: int) -> DataFrame:
     """u and v: links between distinct fingerprints (column print), enough to join what is within MAX_BITS."""
+    schema = "u long, v long, anchor long, home boolean"
     rows = prints.mapInArrow(_anchor_rows, "anchor long, print long, home boolean")
-    return rows.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_links, "u long, v long").distinct()
+    found = written(rows.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_Links(HELD), schema), "print-links")
+    split = found.where("v is null").select("u", "anchor", "home").mapInArrow(_split_rows, "anchor long, print long, home boolean")
+    more = split.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_Links(None), schema)
+    return found.where("v is not null").unionByName(more).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -160,20 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     labels = written(components(links(nodes.select("print"), parts)), "print-labels")
     joined = nodes.join(labels.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("label", "print").alias("label"))
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = joined.select("print", "label").join(least, "label").select("print", "component_id")
+    found = written(joined.select("print", "label").join(least, "label").select("print", "component_id"), "print-groups")
+    for table in (nodes, labels):
+        discard(table)
     return every.join(found, "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each component.
-
-    Of rows that repeat an id one stays; rows with a null id stay, as no id tells them apart.
-    """
-    found = near_duplicates(docs, shingle)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept_id")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col("doc_id").cast("long").alias("_kept_id"), row.alias("row"))
-    alone = rows.where("_kept_id is not null").join(kept, "_kept_id")
-    alone = alone.withColumn("_n", F.row_number().over(Window.partitionBy("_kept_id").orderBy("_kept_id"))).where("_n = 1").select("row")
-    every = alone.unionByName(rows.where("_kept_id is null").select("row"))
-    return every.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

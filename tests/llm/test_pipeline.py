@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as c
 from test_repeats import brute
 from test_search_and_pages import make
-from test_simhash import slow_components, slow_print
+from test_similar_texts import slow_groups
 
 from fotoloom.llm import decontamination, packing
 
@@ -43,10 +43,9 @@ def test_each_stage_and_the_whole(spark, tmp_path):
     assert not ids & {j[0] for j in junk} and {r[0] for r in rows if r[1] and len(r[1].split()) > 40} <= ids
 
     one = step(c.near_dedup, good, "2")
-    known = [(r["doc_id"], slow_print(r["text"])) for r in good.collect() if r["doc_id"] is not None]
-    label = slow_components(known)
+    label = slow_groups([(r["doc_id"], r["text"]) for r in good.collect() if r["doc_id"] is not None])
     got = [r["doc_id"] for r in one.collect()]
-    assert one.columns == docs.columns and sorted(x for x in got if x is not None) == sorted({v for v in label.values()})
+    assert one.columns == docs.columns and sorted(x for x in got if x is not None) == sorted(set(label.values()))
 
     cut = step(c.repeat_removal, one, "3")
     before = [(r["doc_id"], r["text"]) for r in one.collect()]

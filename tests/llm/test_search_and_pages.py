@@ -147,3 +147,42 @@ def test_weights_move_rows_only_to_what_gained(spark):
     a = {r["doc_id"]: r["shard"] for r in sharding.placed(docs, 12).collect()}
     b = {r["doc_id"]: r["shard"] for r in sharding.placed(docs, 12, {3: 2.0}).collect()}
     assert all(b[k] in (a[k], 3) for k in a) and sum(v == 3 for v in b.values()) > 1.4 * sum(v == 3 for v in a.values())
+
+
+def test_suffix_array_against_brute_force(spark, monkeypatch):
+    """Runs of RUN tokens or more that three streams of a host have, by comparing all suffixes; also in small batches."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(60)}"
+    shared = [[word() for _ in range(r.randint(5, 40))] for _ in range(5)]
+    pages = []
+    for k in range(24):
+        tokens = [word() for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 3)):
+            tokens += r.choice(shared)[r.randint(0, 3) :] + [word() for _ in range(r.randint(0, 9))]
+        pages.append((k, f"http://h{k % 3}.example/{k}", "<div>" + " ".join(tokens) + "</div>"))
+    pages += [(50 + k, "http://h1.example/c", pages[1][2]) for k in range(5)] + [(60, "http://h9.example/", "<div>" + "same " * 50 + "</div>")]
+    streams = {k: html_text._stream(html_text.blocks(h)[0]) for k, _, h in pages}
+    want = {}
+    for k, url, _ in pages:
+        own, others = streams[k], {tuple(streams[j]) for j, u, _ in pages if html_text.host(u) == html_text.host(url)} - {tuple(streams[k])}
+        gone = [False] * len(own)
+        for s in range(len(own) - html_text.RUN + 1):
+            part = tuple(own[s : s + html_text.RUN])
+            if sum(any(o[i : i + len(part)] == part for i in range(len(o))) for o in others) >= html_text.PAGES - 1:
+                gone[s : s + html_text.RUN] = [True] * html_text.RUN
+        want[k] = b" ".join(t for t, g in zip(own, gone) if not g).decode()
+    assert sum(len(v) for v in want.values()) < sum(len(b" ".join(v)) for v in streams.values())
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in ("2000", "3"):
+        monkeypatch.setattr(html_text, "small_batches", lambda s, n=size: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n))
+        assert {x["page_id"]: x["text"] for x in html_text.extracted(table).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 100_000 + "x" + "</div>" * 100_000, "<b><p>" * 80_000 + "x", "<p>a</div>" * 60_000, "<span>" * 100_000 + "</p>" * 50_000):
+        began = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - began < 10, page[:20]

@@ -79,3 +79,32 @@ def test_null_ids_and_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "zz")], SCHEMA)).collect()
     assert sorted((x["doc_id"] or 0, x["component_id"] or 0) for x in got) == [(0, 0), (0, 4), (4, 4)]
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_anchors_are_split_without_losing_a_link(spark, monkeypatch):
+    """One half is equal in all prints, so one anchor sees them all."""
+    r = random.Random(11)
+    base = [r.getrandbits(32) for _ in range(500)]
+    prints = {b ^ sum(1 << k for k in r.sample(range(32), r.randint(0, 3))) for b in base for _ in range(4)}
+    want = components_of({p << 32 | 77 for p in prints})
+    signed = [(int(np.uint64(p << 32 | 77).astype(np.int64)),) for p in prints]
+    for held in (100, 1 << 16):
+        monkeypatch.setattr(simhash, "HELD", held)
+        found = simhash.links(spark.createDataFrame(signed, "print long").repartition(3), 4)
+        label = {x["node"] % (1 << 64): x["label"] % (1 << 64) for x in components.components(found).collect()}
+        got: dict = {}
+        for p in prints:
+            got.setdefault(label.get(p << 32 | 77, p << 32 | 77), set()).add(p << 32 | 77)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def components_of(prints):
+    left, out = set(prints), []
+    while left:
+        group = [left.pop()]
+        for x in group:
+            near = {y for y in left if (x ^ y).bit_count() <= 3}
+            left -= near
+            group += near
+        out.append(group)
+    return out
