@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fotoloom.llm import decontamination, packing, quality_classifier, repeats, simhash
+from fotoloom.llm import decontamination, packing, quality_classifier, repeats, similar_texts
 from fotoloom.llm.common import table, written
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies: the one with the least id."""
-    return simhash.one_of_each(docs)
+    """One document, that of the least id, of each group of texts that are alike: five-word shingles, similarity 0.8 or more."""
+    return similar_texts.one_of_each(docs)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
