@@ -1,17 +1,18 @@
 """Toxicity by a chain of classifiers with out-of-fold predictions.
 
-The label table knows one category, ``toxic``.  Two more are derived from it, so that the chain has
-steps that lead up to it: ``marked`` (toxic, and holds a word mark that is learned to be rare outside
-toxic texts) and ``dense`` (toxic, and at least ``DENSE`` of its words hold marks).  The chain
-predicts marked, then dense from the words and P(marked), then toxic from the words and both.  Later
-models are trained with probabilities that models of other folds gave, as in scoring a document's own
-label is not known either.
+The label table has two categories: a text is ``poor`` (quality 0) or not, and ``toxic`` or not.  The
+chain predicts poor from the words, then toxic from the words and P(poor).  The later model is trained
+with probabilities from models of other folds, as in scoring a document's own label is not known
+either.  A fold has whole groups of equal texts, and the words that a fold's models look at are chosen
+without the fold, so nothing of a row's own label is in its input.
 
 Marks are words and word beginnings of 4 to 8 letters.  They are learned from at most ``MAX_TRAIN``
-labelled rows, the first by a hash of doc_id: of the ``MARKS`` with the highest odds, a document
-gives whether each occurs, and its share of the words.  All documents are scored over whole texts.
-Null and empty texts hold no marks and get the base rates; without toxic and clean labels nothing is
-flagged.  Repeated rows are scored alike.
+labelled rows, the first by a hash of doc_id: of the ``MARKS`` with the highest odds of each category,
+a document gives whether each occurs, and its share of the words.  All documents are scored over whole
+texts of any length.  Null and empty texts hold no marks and get the base rates; without toxic and
+clean labels nothing is flagged, and an empty table gives no rows.  Of a doc_id that has several
+labels the majority counts, a tie as toxic (or good); rows without a quality don't train the first
+model.  Repeated rows are scored alike; marks with equal odds are taken in byte order.
 """
 
 from __future__ import annotations
@@ -23,20 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, written
+from .common import as_bytes, discard, small_batches, written
 
 MAX_TRAIN = 8_000
-MARKS = 400
+MARKS = {"poor": 200, "toxic": 400}
 LEAST_DOCS = 4
 BEGINNINGS = range(4, 9)
-DENSE = 0.02
 FOLDS = 5
 STEPS = 200
-CATEGORIES = ["marked", "dense", "toxic"]
+CATEGORIES = ["poor", "toxic"]
 FLAG_AT = 0.5
 
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -53,13 +52,17 @@ def parts(word: bytes) -> list[bytes]:
 
 
 def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, in how many toxic and clean texts each mark occurs."""
+    """Per batch and fold, in how many texts of each category, and in how many at all, each mark occurs."""
     for batch in batches:
-        seen: dict[bytes, list[int]] = {}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        seen: dict[tuple[bytes, int], list[int]] = {}
+        for text, fold, poor, toxic in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             for mark in {m for w in set(words(text or b"")) for m in parts(w)}:
-                seen.setdefault(mark, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["mark", "toxic", "clean"])
+                n = seen.setdefault((mark, fold), [0, 0, 0])
+                n[0] += poor or 0
+                n[1] += toxic
+                n[2] += 1
+        columns = [pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(3))]
+        yield pa.RecordBatch.from_arrays(columns, ["mark", "fold", "poor", "toxic", "n"])
 
 
 def _features(text: bytes, marks: dict[bytes, int]) -> tuple[list[int], list[float], int]:
@@ -80,9 +83,8 @@ class _Vectors:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_features(t or b"", self.marks) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["doc_id", "toxic", "at", "share"]
-            )
+            own = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *own], ["doc_id", "fold", "poor", "toxic", "at", "share"])
 
 
 def dense_rows(rows: list[tuple[list[int], list[float]]], n: int) -> np.ndarray:
@@ -137,18 +139,24 @@ def _with(x: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x, np.log(p / (1 - p)).astype(np.float32) / 3], 1)
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> list[Linear]:
-    """One model per category; inputs from earlier categories are out-of-fold predictions."""
+def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray, known: list[np.ndarray], inputs: list[np.ndarray]) -> list[Linear]:
+    """One model per category; inputs from earlier categories are out-of-fold predictions.
+
+    ``known`` has the rows whose label of the category is known; ``inputs`` the columns of x that were
+    chosen without each fold, and last those that were chosen with all rows.
+    """
     earlier: list[np.ndarray] = []
     models = []
-    for y in targets:
-        z = _with(x, earlier)
-        models.append(fit_linear(z, y))
+    for y, have in zip(targets, known, strict=True):
+        models.append(fit_linear(_with(x[have][:, inputs[-1]], [p[have] for p in earlier]), y[have]))
         out = np.zeros(len(y))
         for f in range(FOLDS):
-            own = folds == f
-            if own.any():
-                out[own] = fit_linear(z[~own], y[~own])(z[own]) if not own.all() else models[-1](z[own])
+            own, others = folds == f, (folds != f) & have
+            if own.any() and others.any():
+                z = _with(x[:, inputs[f]], earlier)
+                out[own] = fit_linear(z[others], y[others])(z[own])
+            else:
+                out[own] = models[-1](_with(x[own][:, inputs[-1]], [p[own] for p in earlier]))
         earlier.append(out)
     return models
 
@@ -169,30 +177,54 @@ class _Chain:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.asarray(p, np.float64)) for p in out)], ["doc_id", *("p_" + c for c in CATEGORIES)])
 
 
+def _best(counted: DataFrame, category: str, fold: int | None, totals: dict) -> list[bytes]:
+    """The marks of a category with the highest odds, chosen without a fold."""
+    held = lambda c: F.col(c) if fold is None else F.col(c) - F.col(f"{c}_{fold}")
+    have, rest = totals[category], totals["n"] - totals[category]
+    odds = F.log((held(category) + 0.5) / (have + 1)) - F.log((held("n") - held(category) + 0.5) / (rest + 1))
+    rows = counted.select("mark", held(category).alias("own"), odds.alias("odds")).where((F.col("own") >= LEAST_DOCS) & (F.col("odds") > 1))
+    return [bytes(r["mark"]) for r in rows.orderBy(F.desc(F.col("odds") * F.log1p("own")), "mark").limit(MARKS[category]).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> _Chain | None:
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), (F.avg("quality") < 0.5).cast("int").alias("poor"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    sample = written(docs.select("doc_id", as_bytes("text").alias("text")).join(F.broadcast(known), "doc_id"), "toxic-sample")
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(totals) < 2:
+    rows = docs.select("doc_id", as_bytes("text").alias("text")).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"])
+    sample = written(rows.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "poor", "toxic"), "toxic-sample")
+    sums = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.coalesce(F.sum("poor"), F.lit(0)).alias("poor")).collect()}
+    totals = {None: {c: sum(r[c] for r in sums.values()) for c in ("n", *CATEGORIES)}}
+    if not 0 < totals[None]["toxic"] < totals[None]["n"]:
         return None
-    counted = sample.select("text", "toxic").mapInArrow(_mark_counts, "mark binary, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
-    best = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "mark").limit(MARKS).collect()
-    marks = [bytes(r["mark"]) for r in best]
-    strong = np.array([r["odds"] > 2.5 for r in best], bool)
-    if not marks:
+    totals |= {f: {c: n - (sums[f][c] if f in sums else 0) for c, n in totals[None].items()} for f in range(FOLDS)}
+    counted = sample.select("text", "fold", "poor", "toxic").mapInArrow(_mark_counts, "mark binary, fold int, poor long, toxic long, n long")
+    by_fold = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}_{f}") for c in ("n", *CATEGORIES) for f in range(FOLDS)]
+    counted = written(counted.groupBy("mark").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)], *by_fold).where(f"toxic >= {LEAST_DOCS} or poor >= {LEAST_DOCS}"), "toxic-marks")
+    chosen = {f: list(dict.fromkeys(m for c in CATEGORIES for m in _best(counted, c, f, totals[f]))) for f in (*range(FOLDS), None)}
+    if not chosen[None]:
         return None
-    rows = sorted(sample.select("doc_id", "text", "toxic").mapInArrow(_Vectors(marks), "doc_id long, toxic int, at array<int>, share array<double>").collect(), key=lambda r: (r["doc_id"], r["share"]))
-    x = dense_rows([(r["at"], r["share"]) for r in rows], len(marks))
-    toxic = np.array([r["toxic"] for r in rows], np.float32)
-    share = np.array([sum(s for a, s in zip(r["at"], r["share"], strict=True) if strong[a]) for r in rows])
-    folds = np.array([xxhash.xxh64_intdigest(str(r["doc_id"])) % FOLDS for r in rows])
-    return _Chain(marks, fit_chain(x, [toxic * (share > 0), toxic * (share >= DENSE), toxic], folds))
+    marks = list(dict.fromkeys([*chosen[None], *(m for own in chosen.values() for m in own)]))
+    place = {m: k for k, m in enumerate(marks)}
+    rows = sorted(sample.mapInArrow(_Vectors(marks), "doc_id long, fold int, poor int, toxic int, at array<int>, share array<double>").collect(), key=lambda r: (r["doc_id"], r["share"]))
+    discard(sample)
+    discard(counted)
+    # what a row has in all depends on the marks at hand, so each choice of marks has its own columns
+    blocks = [dense_rows([_only(r["at"], r["share"], {place[m]: k for k, m in enumerate(own)}) for r in rows], len(own)) for own in chosen.values()]
+    ends = np.cumsum([b.shape[1] for b in blocks])
+    inputs = [np.arange(e - b.shape[1], e) for b, e in zip(blocks, ends, strict=True)]
+    toxic, poor = np.array([r["toxic"] for r in rows], np.float32), np.array([r["poor"] or 0 for r in rows], np.float32)
+    have = [np.array([r["poor"] is not None for r in rows]), np.ones(len(rows), bool)]
+    if not have[0].any():
+        have[0] = have[1]
+    return _Chain(chosen[None], fit_chain(np.concatenate(blocks, 1), [poor, toxic], np.array([r["fold"] for r in rows]), have, inputs))
+
+
+def _only(at: list[int], share: list[float], kept: dict[int, int]) -> tuple[list[int], list[float]]:
+    pairs = [(kept[a], s) for a, s in zip(at, share, strict=True) if a in kept]
+    return [a for a, _ in pairs], [s for _, s in pairs]
 
 
 def probabilities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_marked, p_dense, p_toxic and toxic of every row of ``docs``."""
+    """doc_id, p_poor, p_toxic and toxic of every row of ``docs``."""
     small_batches(docs.sparkSession)
     chain = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fotoloom.llm import language_id, quality_classifier, quality_rules, toxicity
@@ -137,3 +139,42 @@ def test_codewords_differ():
     for k in (2, 3, 4, 7, 12):
         code = language_id.codewords(k)
         assert len({tuple(w) for w in code.tolist()}) == k
+
+
+def test_chain_scores_by_plain_sums(spark):
+    docs, labels = corpus()
+    table, label = spark.createDataFrame(docs + EDGES, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(table, label)
+    marks = list(chain.marks)
+    got = [(r["p_poor"], r["p_toxic"]) for r in spark.createDataFrame(docs, DOCS).select("doc_id", F.col("text").cast("binary")).mapInArrow(chain, "doc_id long, p_poor double, p_toxic double").orderBy("doc_id").collect()]
+    for (_, text, *_), p in zip(docs[::7], got[::7]):
+        own = "".join((c.lower() if c.isascii() else c) if c.isalpha() or ord(c) > 127 else " " for c in text).split()
+        forms = [[m.decode(errors="replace") for m in toxicity.parts(w.encode())] for w in own]
+        n = [sum(m.decode(errors="replace") in f for f in forms) for m in marks]
+        x = [float(k > 0) for k in n] + [math.log1p(200 * k / max(1, len(own))) for k in n]
+        x += [math.log1p(sum(k > 0 for k in n)), math.log1p(50 * sum(n) / max(1, len(own)))]
+        earlier = []
+        for model in chain.models:
+            z = sum(a * float(b) for a, b in zip([*x, *(math.log(min(max(q, 1e-4), 1 - 1e-4) / (1 - min(max(q, 1e-4), 1 - 1e-4))) / 3 for q in earlier)], model.w)) + model.b
+            earlier.append(1 / (1 + math.exp(-min(30, max(-30, z)))))
+        assert all(abs(a - b) < 1e-3 for a, b in zip(earlier, p))
+
+
+def test_out_of_fold_inputs_do_not_know_the_own_label():
+    """With labels that nothing predicts, the second model gets nothing from the first one."""
+    r = np.random.default_rng(5)
+    x = (r.random((400, 300)) < 0.05).astype(np.float32)
+    y = (r.random(400) < 0.5).astype(np.float32)
+    columns = [np.arange(300)] * (toxicity.FOLDS + 1)
+    models = toxicity.fit_chain(x, [y, y], np.arange(400) % toxicity.FOLDS, [np.ones(400, bool)] * 2, columns)
+    assert models[1].w[-1] < 0.5  # in-fold probabilities would give a large weight
+
+
+def test_toxicity_of_empty_tables_and_repeats(spark):
+    docs, labels = corpus(120)
+    none, label = spark.createDataFrame([], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.probabilities(none, label).count() == 0
+    table = spark.createDataFrame(docs + docs[:10] + [(9900, "idiot " * 400_000, "en", "s", 0)], DOCS)
+    rows = toxicity.probabilities(table.withColumn("p_toxic", F.lit("x")), label).collect()
+    assert len(rows) == 131 and len({(r["doc_id"], r["p_toxic"]) for r in rows}) == 121
+    assert not toxicity.probabilities(table, label.where("toxic = 0")).where("toxic").count()
