@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,26 +139,25 @@ def _with(x: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x, np.log(p / (1 - p)).astype(np.float32) / 3], 1)
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray, known: list[np.ndarray], inputs: list[np.ndarray]) -> list[Linear]:
+def fit_chain(features: Callable[[int | None], np.ndarray], targets: list[np.ndarray], folds: np.ndarray, known: list[np.ndarray]) -> list[Linear]:
     """One model per category; inputs from earlier categories are out-of-fold predictions.
 
-    ``known`` has the rows whose label of the category is known; ``inputs`` the columns of x that were
-    chosen without each fold, and last those that were chosen with all rows.
+    ``features`` gives the rows' features by the marks that were chosen without a fold, or with all
+    rows; only one such table is held at a time.  ``known`` has the rows whose label is known.
     """
-    earlier: list[np.ndarray] = []
-    models = []
-    for y, have in zip(targets, known, strict=True):
-        models.append(fit_linear(_with(x[have][:, inputs[-1]], [p[have] for p in earlier]), y[have]))
-        out = np.zeros(len(y))
+    earlier = [np.zeros(len(folds)) for _ in targets]
+    # out-of-fold probabilities of one category need those of the categories before it
+    for c, (y, have) in enumerate(zip(targets[:-1], known, strict=False)):
         for f in range(FOLDS):
             own, others = folds == f, (folds != f) & have
             if own.any() and others.any():
-                z = _with(x[:, inputs[f]], earlier)
-                out[own] = fit_linear(z[others], y[others])(z[own])
-            else:
-                out[own] = models[-1](_with(x[own][:, inputs[-1]], [p[own] for p in earlier]))
-        earlier.append(out)
-    return models
+                z = _with(features(f), earlier[:c])
+                earlier[c][own] = fit_linear(z[others], y[others])(z[own])
+            elif own.any():
+                share = (float(y[have].sum()) + 0.5) / (int(have.sum()) + 1)
+                earlier[c][own] = share
+    x = features(None)
+    return [fit_linear(_with(x[have], [p[have] for p in earlier[:c]]), y[have]) for c, (y, have) in enumerate(zip(targets, known, strict=True))]
 
 
 class _Chain:
@@ -207,15 +206,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> _Chain | None:
     rows = sorted(sample.mapInArrow(_Vectors(marks), "doc_id long, fold int, poor int, toxic int, at array<int>, share array<double>").collect(), key=lambda r: (r["doc_id"], r["share"]))
     discard(sample)
     discard(counted)
-    # what a row has in all depends on the marks at hand, so each choice of marks has its own columns
-    blocks = [dense_rows([_only(r["at"], r["share"], {place[m]: k for k, m in enumerate(own)}) for r in rows], len(own)) for own in chosen.values()]
-    ends = np.cumsum([b.shape[1] for b in blocks])
-    inputs = [np.arange(e - b.shape[1], e) for b, e in zip(blocks, ends, strict=True)]
+
+    def features(fold: int | None) -> np.ndarray:
+        kept = {place[m]: k for k, m in enumerate(chosen[fold])}
+        return dense_rows([_only(r["at"], r["share"], kept) for r in rows], len(kept))
+
     toxic, poor = np.array([r["toxic"] for r in rows], np.float32), np.array([r["poor"] or 0 for r in rows], np.float32)
     have = [np.array([r["poor"] is not None for r in rows]), np.ones(len(rows), bool)]
     if not have[0].any():
         have[0] = have[1]
-    return _Chain(chosen[None], fit_chain(np.concatenate(blocks, 1), [poor, toxic], np.array([r["fold"] for r in rows]), have, inputs))
+    return _Chain(chosen[None], fit_chain(features, [poor, toxic], np.array([r["fold"] for r in rows]), have))
 
 
 def _only(at: list[int], share: list[float], kept: dict[int, int]) -> tuple[list[int], list[float]]:

@@ -165,8 +165,7 @@ def test_out_of_fold_inputs_do_not_know_the_own_label():
     r = np.random.default_rng(5)
     x = (r.random((400, 300)) < 0.05).astype(np.float32)
     y = (r.random(400) < 0.5).astype(np.float32)
-    columns = [np.arange(300)] * (toxicity.FOLDS + 1)
-    models = toxicity.fit_chain(x, [y, y], np.arange(400) % toxicity.FOLDS, [np.ones(400, bool)] * 2, columns)
+    models = toxicity.fit_chain(lambda _: x, [y, y], np.arange(400) % toxicity.FOLDS, [np.ones(400, bool)] * 2)
     assert models[1].w[-1] < 0.5  # in-fold probabilities would give a large weight
 
 
@@ -176,5 +175,5 @@ def test_toxicity_of_empty_tables_and_repeats(spark):
     assert toxicity.probabilities(none, label).count() == 0
     table = spark.createDataFrame(docs + docs[:10] + [(9900, "idiot " * 400_000, "en", "s", 0)], DOCS)
     rows = toxicity.probabilities(table.withColumn("p_toxic", F.lit("x")), label).collect()
-    assert len(rows) == 131 and len({(r["doc_id"], r["p_toxic"]) for r in rows}) == 121
+    assert len(rows) == 131 and len({(r["doc_id"], round(r["p_toxic"], 6)) for r in rows}) == 121
     assert not toxicity.probabilities(table, label.where("toxic = 0")).where("toxic").count()
