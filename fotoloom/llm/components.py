@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        now = written(_small_star(_large_star(now)), "links")
+        before, now = now, written(_small_star(_large_star(now)), "links")
+        discard(before)
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -8,7 +8,9 @@ best codeword is nearly as close, the row is flagged ambiguous.
 Training takes at most ``SAMPLE_A_LANGUAGE`` texts of a language (and ``SAMPLE`` in all), the first
 by a hash of doc_id, of rows with a language whose crc32(doc_id as text) mod 5 is not 0.  Null texts
 and texts without a letter are ``und`` with score 0; so is everything when nothing can be learned.
-With one known language every text with a letter is of that language, with score 1.
+With one known language every text with a letter is of that language, with score 1.  Repeated rows are
+scored alike; of codewords with equal loss the first language in the order of names is taken, and the
+row is flagged ambiguous.
 """
 
 from __future__ import annotations

@@ -4,8 +4,10 @@ A rule has a side: it votes "bad" (junk detectors) or "good" where its condition
 elsewhere.  Spark counts how often each vote pattern occurs; EM over that table (at most 2 ** rules
 rows, whatever the corpus) finds the share of good documents and how often each rule votes on either
 class, hence its accuracy.  The posterior of a pattern then decides, so that one weak vote against a
-document doesn't remove it.  Null and empty texts are judged by their votes like any other; an empty
-table gives an empty table.
+document doesn't remove it.  A rule tends to one side, so where it abstains that is evidence too, and
+the posterior counts it: ``(1 - rate on good) / (1 - rate on bad)``.  Null and empty texts are judged
+by their votes like any other; an empty table gives an empty table.  Repeated rows count each time
+and get equal results; texts with equal votes get equal posteriors.
 """
 
 from __future__ import annotations

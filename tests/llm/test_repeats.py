@@ -105,3 +105,19 @@ def test_every_window_has_a_sample_and_equal_windows_the_same(spark):
         own = {p - s for p in at if s <= p <= s + WINDOW - GRAM}
         twin = {p - s - 1900 for p in at if s + 1900 <= p <= s + 1900 + WINDOW - GRAM}
         assert own & twin
+
+
+def test_texts_longer_than_a_slice_and_repeats_at_its_borders(spark, monkeypatch):
+    from fotoloom.llm import windows
+
+    monkeypatch.setattr(windows, "SLICE", 97)
+    rows = corpus(7, 40)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(2)
+    assert sorted(map(tuple, repeats.digests(df).collect()), key=repr) == sorted(brute(rows), key=repr)
+    hasher = GramHasher()
+    import pyarrow as pa
+
+    texts = windows.Texts(pa.array([(t or "").encode() for _, t in rows], pa.binary()))
+    got = {int(p) for at, *_ in texts.samples(hasher) for p in at}
+    want = {int(a + p) for a, (_, t) in zip(texts.offsets, rows) for p in sampled(hasher.grams(np.frombuffer((t or "").encode(), np.uint8)))}
+    assert got == want

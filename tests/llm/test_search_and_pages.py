@@ -186,3 +186,55 @@ def test_deep_nesting_takes_time_in_proportion():
         began = time.process_time()
         html_text.blocks(page)
         assert time.process_time() - began < 10, page[:20]
+
+
+def test_no_token_of_an_item_is_lost(spark):
+    """Items of 3, 65, 90 and 200 tokens, and a document for each stretch of 64 tokens, without the operator's own cutting."""
+    r = random.Random(17)
+    text = lambda n, mark: [f"{mark}{r.randrange(10**6)}" for _ in range(n)]
+    items = {n: text(n, "i") for n in (3, 65, 90, 200)}
+    docs, want = [], set()
+    for n, own in items.items():
+        for s in sorted({0, 1, 26, max(0, n - 64) // 2, max(0, n - 64)} & set(range(max(1, n - 63)))):
+            docs.append((1000 * n + s, " ".join(text(300, "d") + own[s : s + 64] + text(200, "d"))))
+            want.add((1000 * n + s, n))
+        docs.append((1000 * n + 900, " ".join(text(100, "d") + own[: min(n - 1, n // 3, 40)] + text(100, "d"))))  # too little of it
+    docs.append((7, " ".join(text(150_000, "d") + items[90])))  # a very long text with the item at its end
+    want.add((7, 90))
+    bench = spark.createDataFrame([(n, " ".join(own)) for n, own in items.items()] + [(65, " ".join(items[65]))], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = [(x["doc_id"], x["item_id"]) for x in d.leaks(table, bench).collect()]
+    assert sorted(found) == sorted(want)
+    assert {x["doc_id"] for x in d.leaks(table.union(table), bench).collect()} == {w[0] for w in want}
+
+
+def test_blocks_of_items_find_what_one_block_finds(spark, monkeypatch):
+    items, docs, _ = make(3)
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = {(x["doc_id"], x["item_id"]) for x in d.leaks(table, bench).collect()}
+    monkeypatch.setattr(d, "BLOCK_CHARS", 4000)
+    assert len(d.blocks(bench)) > 1
+    many = {(x["doc_id"], x["item_id"]) for x in d.leaks(table, bench).collect()}
+    assert len(one & many) >= 0.95 * len(one | many)
+    assert {x["doc_id"] for x in d.without_leaks(table, bench).collect()} == {i for i, _ in docs} - {i for i, _ in many}
+
+
+def test_leaks_in_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, row int")
+    bench = spark.createDataFrame(make()[0], "item_id long, text string")
+    assert d.leaks(none, bench).count() == 0 and d.without_leaks(none, bench).columns == none.columns and d.without_leaks(none, bench).count() == 0
+
+
+def test_inverted_list_loses_no_stretch_that_reaches_the_limit():
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(300):
+        item = [r.randrange(25) for _ in range(r.randint(6, 64))]
+        kept = [k for k in range(len(item)) if r.random() < 0.8] or [0]
+        if len(kept) < d.LCS * len(item):
+            continue
+        begins, _, weight, needed = d.inverted([np.array(item)], np.array([r.random() for _ in range(25)]))
+        terms = np.repeat(np.arange(25), np.diff(begins))
+        held = sum(w for t, w in zip(terms.tolist(), weight.tolist()) if t in {item[k] for k in kept})
+        assert held >= needed[0]
