@@ -222,7 +222,8 @@ def auto_settings(pixels: np.ndarray, w: int, h: int) -> dict[str, float]:
     """Slider values from the distribution of luma, saturation, and centre against edge."""
     rgb = rgb8(pixels)
     n = len(rgb)
-    luma = rgb @ LUMA
+    # six digits, so that halves don't depend on the order of sums
+    luma = np.round(rgb @ LUMA, 6)
     counts = np.bincount(np.minimum(np.floor(luma + 0.5).astype(int), 255), minlength=256)
     top, low = rgb.max(1), rgb.min(1)
     saturation = float(np.where(top > 0, (top - low) / np.maximum(top, 1), 0).mean())

@@ -83,6 +83,12 @@ def export_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("completed"), F.count("error").alias("failed"), F.array_join(F.transform(F.array_sort(F.collect_list(failed)), lambda x: x["error"]), "\n").alias("errors"))
 
 
+def export_errors(results: DataFrame) -> DataFrame:
+    """place, idx and error of every failure, numbered from 0 in order: the summary's text as rows, whatever its length."""
+    failed = results.where("error is not null").select("idx", "error", F.lit(0).alias("_all"))
+    return storage.numbered(failed, "_all", ["idx", "error"], "place").select("place", "idx", "error")
+
+
 def estimate_export_size(samples: DataFrame, plan: DataFrame) -> DataFrame:
     """Bytes by format: mean bytes a pixel of the samples times the pixels planned; LUT files have one size."""
     rate = samples.groupBy("format").agg(F.avg(F.col("bytes") / F.col("preview_px")).alias("rate"))

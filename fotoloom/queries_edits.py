@@ -12,6 +12,8 @@ from .functions import xmp
 from .operators import benchmark, edits, lens
 from .plans import planning
 from .registry import collector
+from .sources.files import write_catalog
+from .storage import shared_folder
 
 QUERIES, ORACLE_SQL, query = collector()
 W = f"with {C} "
@@ -188,8 +190,17 @@ def d15(spark, d):
 
 @query("e8_export_summary", "select count(*) as completed, count(case when l_returnflag = 'R' then 1 end) as failed, string_agg(case when l_returnflag = 'R' then l_orderkey || ' failed' end, chr(10) order by l_orderkey, l_linenumber) as errors from lineitem")
 def e8(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("idx"), F.when(F.col("l_returnflag") == "R", F.concat("l_orderkey", F.lit(" failed"))).alias("error"))
-    return planning.export_summary(rows)
+    return planning.export_summary(_results(spark, d))
+
+
+def _results(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("idx"), F.when(F.col("l_returnflag") == "R", F.concat("l_orderkey", F.lit(" failed"))).alias("error"))
+
+
+@query("e8_export_errors", "select row_number() over (order by l_orderkey, l_linenumber) - 1 as place, l_orderkey * 100 + l_linenumber as idx, l_orderkey || ' failed' as error from lineitem where l_returnflag = 'R'")
+def e8r(spark, d):
+    """The errors of the summary as rows, for exports whose errors no single text can hold."""
+    return planning.export_errors(_results(spark, d))
 
 
 @query("e9_export_size", W + ", s as (select case idx % 3 when 0 then 'jpg' when 1 then 'png' else 'cube' end as format, 100000 + idx % 777 as bytes, 1000000 + idx % 1000 as px from catalog) select format, count(*) as n, round(sum(case when format = 'cube' then 1050000.0 else rate * px * 4 end), 3) as bytes from s join (select format, avg(bytes / cast(px as double)) as rate from s group by 1) r using (format) group by 1")
@@ -258,7 +269,19 @@ def _lens_names(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey % 40 as lens_id", "case p_partkey % 3 when 0 then 'Sony' when 1 then 'Nikon' else 'Canon' end as maker", "'FE ' || (20 + p_partkey % 8 * 15) || 'mm F1.8 v' || p_partkey % 40 as model").groupBy("lens_id").agg(F.min("maker").alias("maker"), F.min("model").alias("model"))
 
 
-@query("d10_match_lenses")
+LENS_NAMES = "names as (select lens_id, min(maker) as maker, min(model) as model from (select p_partkey % 40 as lens_id, case p_partkey % 3 when 0 then 'Sony' when 1 then 'Nikon' else 'Canon' end as maker, 'FE ' || (20 + p_partkey % 8 * 15) || 'mm F1.8 v' || p_partkey % 40 as model from part) group by 1)"
+PLAIN = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+#: Letters in order are a LIKE pattern here.
+MATCHED = (
+    W + f", {LENS_NAMES}, asked as (select distinct make, lens from catalog where length(trim(lens)) >= 3), "
+    f"both_ as (select *, {PLAIN.format('lens')} as own, {PLAIN.format('model')} as other, {PLAIN.format('make')} as m1, {PLAIN.format('maker')} as m2, case when lower(model) like '%' || array_to_string(string_split(lower(lens), ''), '%') || '%' then length(lens) else 0 end as fuzzy from asked cross join names), "
+    "shared as (select *, list_filter(string_split(own, ' '), lambda t: length(t) >= 2 and list_contains(string_split(other, ' '), t)) as words, contains(own, other) or contains(other, own) as inside from both_), "
+    "scored as (select *, cast(fuzzy - floor(abs(length(other) - length(own)) / 3) + 12 * len(words) + 40 * len(list_filter(words, lambda t: length(t) >= 4)) + case when inside then 25 else 0 end + case when contains(m1, m2) or contains(m2, m1) then 14 else 0 end as bigint) as score from shared) "
+    "select make, lens, lens_id, score from scored where score >= 24 and (len(words) >= 2 or inside or fuzzy > 0 and len(words) > 0) qualify row_number() over (partition by make, lens order by score desc, lens_id desc) = 1"
+)
+
+
+@query("d10_match_lenses", MATCHED)
 def d10(spark, d):
     return lens.match_lenses(catalog(spark, d), _lens_names(spark, d))
 
@@ -279,7 +302,6 @@ LENS_FILES = """l as (select p_partkey % 60 as lens, min(p_size) as focal, max(p
 def a7(spark, d):
     """Lens files are written as XML, one lens an element, and read as a database."""
     from .sources.files import read_lens_db
-    from .storage import shared_folder
 
     l = table(spark, d, "part").groupBy((F.col("p_partkey") % 60).alias("lens")).agg(F.min("p_size").alias("focal"), F.max(F.col("p_partkey") % 90).alias("k"))
     maker = F.when(F.col("lens") % 3 == 0, "Sony").when(F.col("lens") % 3 == 1, "Nikon").otherwise("Canon")
@@ -375,6 +397,15 @@ def a11(spark, d):
     return catalog(spark, d).select(F.pmod(F.xxhash64("source_path"), F.lit(64)).cast("int").alias("bucket"), "path", "rating").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("ratings"))
 
 
+@query("a11_catalog_written", W + "select idx, path, cast(case when idx % 2 = 0 then 5 else rating end as int) as rating from catalog")
+def a11w(spark, d):
+    """The catalog as it is read back: written once, then again with new ratings, which replace those of the same buckets."""
+    rows, folder = catalog(spark, d).select("idx", "path", "source_path", "rating"), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    write_catalog(rows, folder)
+    write_catalog(rows.withColumn("rating", F.when(F.col("idx") % 2 == 0, 5).otherwise(F.col("rating"))), folder)
+    return spark.read.parquet(folder).select("idx", "path", "rating")
+
+
 @query("w3_edit_and_plan", W + "select idx, '/out/' || substr(folder, 6) || '/' || " + STEM + " || '_edited.jpg' as target from catalog where copy_id is null and idx % 2 = 0")
 def w3(spark, d):
     from .plans.pipelines import edit_and_plan

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from . import twins_pixels as twins
 from .fixtures import RGB_SQL, TILES_DUP_SQL, TILES_SQL, images, rgb_images, table
 from .operators import imaging, pixels, similar
+from .queries_library import SCORES, tag_scores
 from .registry import collector
+from .storage import shared_folder, written
 from .streaming import streams
 
 QUERIES, ORACLE_SQL, query = collector()
@@ -31,7 +36,7 @@ def e10l(spark, d):
     return imaging.library_histogram(_exact(spark, d).withColumn("folder", F.substring("path", 1, 6)))
 
 
-@query("e10_histogram")
+@query("e10_histogram", twins.HISTOGRAM)
 def e10h(spark, d):
     rows = imaging.histogram(_exact(spark, d)).select("path", "channel", F.posexplode("bins").alias("bin", "value"))
     return rows.withColumn("value", F.round("value", 6))
@@ -91,12 +96,12 @@ def e15(spark, d):
     return imaging.color_tags(_exact(spark, d))
 
 
-@query("e16_auto_adjust")
+@query("e16_auto_adjust", twins.AUTO_ADJUST)
 def e16(spark, d):
     return imaging.auto_adjust(_exact(spark, d)).select("path", "setting", F.round("value", 6).alias("value"))
 
 
-@query("e17_auto_white_balance")
+@query("e17_auto_white_balance", twins.WHITE_BALANCE)
 def e17(spark, d):
     return imaging.auto_white_balance(_exact(spark, d))
 
@@ -190,10 +195,17 @@ def i6(spark, d):
     return similar.cull(images(spark, d, True)).select("idx", "verdict", "label", F.round("quality", 6).alias("quality"))
 
 
-@query("w2_cull_and_tag")
+SCORED = "select path, tag, exp(score) / sum(exp(score)) over (partition by path) as p from s"
+CULLED_AND_TAGGED = (
+    CULLED.replace("select img_id as idx, case", ", verdicts as (select img_id as idx, case") + f"), scored as ({SCORES} {SCORED}), picked as (select path, tag from scored where p > 0.005 qualify row_number() over (partition by path order by p desc, tag) <= 10), "
+    "parents as (select path, tag from picked union select path, 'first' from picked where tag = 'label1' union select path, 'second' from picked where tag = 'label2'), tagged as (select path, string_agg(tag, '|' order by tag) as tags from parents group by path) "
+    "select idx, verdict, tags from verdicts left join tagged on path = '/img/' || idx"
+)
+
+
+@query("w2_cull_and_tag", CULLED_AND_TAGGED)
 def w2(spark, d):
     from .plans.pipelines import cull_and_tag
-    from .queries_library import tag_scores
 
     tree = spark.createDataFrame([("label1", "first"), ("label2", "second")], "child string, parent string")
     verdicts, picks = cull_and_tag(images(spark, d, True), tag_scores(spark, d), tree)
@@ -245,7 +257,7 @@ def j2w(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.whites(c, 0.4)))
 
 
-@query("j2b_tone")
+@query("j2b_tone", twins.TONE)
 def j2b(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.calibration(pixels.contrast(pixels.brightness(c, 0.4), 0.3), (0.1, -0.1, 0.05), (0.2, 0, -0.1), 0.1)))
 
@@ -258,22 +270,22 @@ def j3(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.saturation_vibrance(c, 0.3, 0.0)))
 
 
-@query("j3_vibrance_hue")
+@query("j3_vibrance_hue", twins.VIBRANCE_HUE)
 def j3v(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.hue_shift(pixels.saturation_vibrance(c, 0.0, 0.4), 15.0)))
 
 
-@query("j4_mixer_grading")
+@query("j4_mixer_grading", twins.MIXER_GRADING)
 def j4(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.color_grade(pixels.hsl_mixer(c, {"reds": (10, 0.2, 0.1)}), {"shadows": (200, 0.3, 0.05)})))
 
 
-@query("j5_tone_curve")
+@query("j5_tone_curve", twins.TONE_CURVE)
 def j5(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.tone_curve(c, [(0, 0), (64, 50), (192, 210), (255, 255)])))
 
 
-@query("j6_lut")
+@query("j6_lut", twins.LUT)
 def j6(spark, d):
     n = 9
     axis = np.linspace(0, 1, n)
@@ -281,7 +293,7 @@ def j6(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.lut_lookup(c, lut, 0.8)))
 
 
-@query("j7_vignette")
+@query("j7_vignette", twins.VIGNETTE)
 def j7(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c, w, h: pixels.vignette(c, w, h, -0.5), with_size=True))
 
@@ -291,19 +303,19 @@ def j7b(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c: pixels.tone_map_basic(c, False)))
 
 
-@query("j8_grade")
+@query("j8_grade", twins.GRADE)
 def j8(spark, d):
     photos = rgb_images(spark, d).withColumn("is_raw", F.lit(True))
     docs = photos.select("path", F.expr("""'{"exposure":' || (length(path) % 3) / 10 || ',"contrast":20,"saturation":10,"vignetteAmount":-20}'""").alias("doc"))
     return _rgb_rows(pixels.grade(photos, docs))
 
 
-@query("j9_negative")
+@query("j9_negative", twins.NEGATIVE)
 def j9(spark, d):
     return _rgb_rows(pixels.apply(rgb_images(spark, d), lambda c, w, h: pixels.invert_negative(c, w, h), with_size=True))
 
 
-@query("j10_masks")
+@query("j10_masks", twins.MASKS)
 def j10(spark, d):
     base = pixels.range_mask(rgb_images(spark, d), (0.5, 0.5, 0.5), 30.0)
     other = pixels.range_mask(rgb_images(spark, d), (0.6, 0.4, 0.5), 20.0, "luma")
@@ -312,7 +324,7 @@ def j10(spark, d):
     return masks.select("path", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("mask"))
 
 
-@query("j11_focus_stack")
+@query("j11_focus_stack", twins.FOCUS_STACK)
 def j11(spark, d):
     frames = rgb_images(spark, d).withColumn("n", F.regexp_extract("path", "([0-9]+)$", 1).cast("int")).select(F.floor(F.col("n") / 4).cast("string").alias("stack"), (F.col("n") % 4).alias("frame"), "width", "height", "pixels")
     return pixels.focus_stack(frames, 2).select("stack", "y", "x", "frame")
@@ -326,30 +338,80 @@ def j12(spark, d):
 LOGS = "l as (select event_type as level, 'm' || event_id % 7 as message, cast(epoch_ms(ts) // 20000 as bigint) as ms from events)"
 
 
-@query("k1_dedupe_logs", f"with recursive {LOGS}, o as (select *, row_number() over (partition by level, message order by ms) as n from l), k(level, message, n, ms) as (select level, message, n, ms from o where n = 1 union all select o.level, o.message, o.n, o.ms from k join lateral (select * from o where o.level = k.level and o.message = k.message and o.ms >= k.ms + 1500 order by o.n limit 1) o on true) select level, message, ms from k")
+DEDUPED = f"with recursive {LOGS}, o as (select *, row_number() over (partition by level, message order by ms) as n from l), k(level, message, n, ms) as (select level, message, n, ms from o where n = 1 union all select o.level, o.message, o.n, o.ms from k join lateral (select * from o where o.level = k.level and o.message = k.message and o.ms >= k.ms + 1500 order by o.n limit 1) o on true) select level, message, ms from k"
+
+
+def _log_lines(events):
+    return events.select(F.col("event_type").alias("level"), F.concat(F.lit("m"), F.col("event_id") % 7).alias("message"), F.timestamp_millis(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 20000)).alias("ts"))
+
+
+@query("k1_dedupe_logs", DEDUPED)
 def k1(spark, d):
-    logs = table(spark, d, "events").select(F.col("event_type").alias("level"), F.concat(F.lit("m"), F.col("event_id") % 7).alias("message"), F.timestamp_millis(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 20000)).alias("ts"))
-    return streams.dedupe_logs_batch(logs).select("level", "message", F.unix_millis("ts").alias("ms"))
+    return streams.dedupe_logs_batch(_log_lines(table(spark, d, "events"))).select("level", "message", F.unix_millis("ts").alias("ms"))
 
 
-@query("k2_job_progress")
+@query("k1_dedupe_stream", DEDUPED)
+def k1s(spark, d):
+    return streams.drained(streams.dedupe_logs(_log_lines(streams.arriving(table(spark, d, "events")))), "log-lines").select("level", "message", F.unix_millis("ts").alias("ms"))
+
+
+def _job_events(events):
+    return events.select(F.col("user_id").cast("long").alias("job_id"), F.col("event_id").cast("long").alias("at"), F.when(F.col("event_id") % 3 == 0, "add").otherwise("done").alias("kind"), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).cast("long").alias("n"))
+
+
+@query("k2_job_progress", twins.JOB_PROGRESS)
 def k2(spark, d):
-    events = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 == 0, "add").otherwise("done").alias("kind"), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).cast("long").alias("n"))
-    return streams.job_progress_batch(events)
+    return streams.job_progress_batch(_job_events(table(spark, d, "events")))
 
 
-@query("k4_catalog_upsert", "select o_orderkey as path, cast(epoch(o_orderdate) as bigint) + case when o_orderkey % 3 = 0 then 5 else 0 end as modified, case when o_orderkey % 3 = 0 then 'new' else 'old' end as state from orders where o_orderkey % 4 <> 1 union all select o_orderkey, cast(epoch(o_orderdate) as bigint) + case when o_orderkey % 3 = 0 then 5 else -5 end, 'new' from orders where o_orderkey % 4 = 1")
-def k4(spark, d):
+@query("k2_progress_stream", twins.JOB_PROGRESS)
+def k2s(spark, d):
+    return streams.drained(streams.job_progress(_job_events(streams.arriving(table(spark, d, "events")))), "job-progress")
+
+
+UPSERTED = "select o_orderkey as path, cast(epoch(o_orderdate) as bigint) + case when o_orderkey % 3 = 0 then 5 else 0 end as modified, case when o_orderkey % 3 = 0 then 'new' else 'old' end as state from orders where o_orderkey % 4 <> 1 union all select o_orderkey, cast(epoch(o_orderdate) as bigint) + case when o_orderkey % 3 = 0 then 5 else -5 end, 'new' from orders where o_orderkey % 4 = 1"
+
+
+def _old_and_new(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.unix_timestamp("o_orderdate").alias("modified"))
     new = o.withColumn("modified", F.col("modified") + F.when(F.col("path") % 3 == 0, 5).otherwise(-5)).withColumn("state", F.lit("new"))
-    return streams.upsert(o.where("path % 4 <> 1").withColumn("state", F.lit("old")), new)
+    return o.where("path % 4 <> 1").withColumn("state", F.lit("old")), new
+
+
+@query("k4_catalog_upsert", UPSERTED)
+def k4(spark, d):
+    return streams.upsert(*_old_and_new(spark, d))
+
+
+@query("k4_catalog_stream", UPSERTED)
+def k4s(spark, d):
+    """The catalog after a stream of old rows and then one of changes went into its table."""
+    kept = streams.Table(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    for rows in _old_and_new(spark, d):
+        streams.finished(spark, streams.incremental_catalog(streams.arriving(written(rows, "catalog-changes")), kept))
+    return kept.read()
+
 
+TAGGED = "select o_orderkey as path, case when o_orderkey % 2 = 0 then 'color:red|sea' else 'dog' end as tags from orders"
 
-@query("k5_tag_stream_batch", "select o_orderkey as path, case when o_orderkey % 2 = 0 then 'color:red|sea' else 'dog' end as tags from orders")
+
+def _untagged(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
+    return o.withColumn("tags", F.when(F.col("path") % 2 == 0, F.array(F.lit("color:red"))).otherwise(F.array(F.lit("dog")))), o.withColumn("tags", F.array(F.lit("sea")))
+
+
+@query("k5_tag_stream_batch", TAGGED)
 def k5(spark, d):
     from .operators.tags import merge_ai_tags
 
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
-    c = o.withColumn("tags", F.when(F.col("path") % 2 == 0, F.array(F.lit("color:red"))).otherwise(F.array(F.lit("dog"))))
-    out = merge_ai_tags(c, o.withColumn("tags", F.array(F.lit("sea"))))
-    return out.select("path", F.array_join("tags", "|").alias("tags"))
+    return merge_ai_tags(*_untagged(spark, d)).select("path", F.array_join("tags", "|").alias("tags"))
+
+
+@query("k5_tag_stream", TAGGED)
+def k5s(spark, d):
+    """The catalog after a tagger's stream went into its table."""
+    photos, found = _untagged(spark, d)
+    kept = streams.Table(spark, f"{shared_folder(spark)}/tagged-{uuid.uuid4().hex}")
+    kept.write(photos)
+    streams.finished(spark, streams.incremental_tags(streams.arriving(written(found, "tagger")), kept))
+    return kept.read().select("path", F.array_join("tags", "|").alias("tags"))

@@ -8,17 +8,41 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import tags as tag_jobs
+from ..storage import shared_folder
 
 WINDOW_MS = 1500
 MAX_TEXT = 12_000
 CUT = "… [truncated]"
 
 
+def arriving(table: DataFrame) -> DataFrame:
+    """The files of a table, and those that come later, as a stream; a table of one file may lie beside others."""
+    files = table.inputFiles()
+    folders, names = {f.rpartition("/")[0] for f in files}, {f.rpartition("/")[2] for f in files}
+    stream = table.sparkSession.readStream.schema(table.schema)
+    if len(names) == 1:
+        stream = stream.option("pathGlobFilter", names.pop())
+    return stream.parquet(*folders)
+
+
+def finished(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Runs a stream's writer over all that has arrived, with its checkpoint in the shared folder."""
+    writer.option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream makes of all that has arrived, as a Parquet table in the shared folder."""
+    path = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    finished(stream.sparkSession, stream.writeStream.format("parquet").option("path", path).outputMode("append"))
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def shortened(column: str = "message"):
     return F.when(F.length(column) > MAX_TEXT, F.concat(F.substring(column, 1, MAX_TEXT), F.lit(CUT))).otherwise(F.col(column))
 
