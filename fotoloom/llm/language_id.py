@@ -5,8 +5,8 @@ byte 1- to 3-grams of the lower-cased text and predicts that bit.  Decoding weig
 of each bit by how well the bit was learned, and takes the codeword of least loss.  Where the second
 best codeword is nearly as close, the row is flagged ambiguous.
 
-Training takes at most ``SAMPLE_A_LANGUAGE`` texts of a language (and ``SAMPLE`` in all), the first
-by a hash of doc_id, of rows with a language whose crc32(doc_id as text) mod 5 is not 0.  Null texts
+Training takes about ``SAMPLE_A_LANGUAGE`` texts of a language and ``SAMPLE`` in all at most, drawn
+by a hash of doc_id and then the first by a hash of their grams, of rows with a language whose crc32(doc_id as text) mod 5 is not 0.  Null texts
 and texts without a letter are ``und`` with score 0; so is everything when nothing can be learned.
 With one known language every text with a letter is of that language, with score 1.  Repeated rows are
 scored alike; of codewords with equal loss the first language in the order of names is taken, and the
@@ -138,10 +138,12 @@ def fit(docs: DataFrame) -> LanguageModel | None:
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return None
-    most = min(SAMPLE_A_LANGUAGE, SAMPLE // len(counts))
+    most = max(1, min(SAMPLE_A_LANGUAGE, SAMPLE // len(counts)))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most / n))])
-    rows = learn.where(chance < rate[F.col("lang")]).select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect()
+    drawn = learn.where(chance < rate[F.col("lang")]).select("lang", "text").mapInArrow(_vectors, "lang string, vector binary")
+    # rows of one id are drawn together, so the draw alone is no bound
+    rows = drawn.orderBy(F.xxhash64("lang", "vector"), "lang").limit(SAMPLE).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["vector"])))

@@ -106,6 +106,13 @@ def test_rules_run_as_columns_like_in_training(spark):
     table, label = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = quality_classifier.fit(table, label)
     assert 0 < len(model.rules) < 200 and all(len(r) <= quality_classifier.DEPTH for r, _ in model.rules)
+    counted = quality_classifier._score(quality_classifier.text_counts(table), model).collect()
+    assert len(counted) == len(docs)
+    for row in counted:
+        total = model.bias
+        for rule, weight in model.rules:
+            total += weight * all((row[name] > limit) == above for name, above, limit in rule)
+        assert abs(row["score"] - 1 / (1 + math.exp(-total))) < 1e-9
 
 
 def test_toxicity_on_unlabelled_rows(spark):
@@ -177,3 +184,32 @@ def test_toxicity_of_empty_tables_and_repeats(spark):
     rows = toxicity.probabilities(table.withColumn("p_toxic", F.lit("x")), label).collect()
     assert len(rows) == 131 and len({(r["doc_id"], round(r["p_toxic"], 6)) for r in rows}) == 121
     assert not toxicity.probabilities(table, label.where("toxic = 0")).where("toxic").count()
+
+
+def test_codewords_are_decoded_by_weighted_loss():
+    languages = ["a"] * 6 + ["b"] * 6 + ["c"] * 6 + ["d"] * 6
+    texts = [word * (k + 2) for word in ("la le ", "der die ", "the of ", "och det ") for k in range(6)]
+    x = np.stack([language_id.shares(t) for t in texts])
+    model = language_id.fit_codes(x, languages)
+    best, score, ahead = model.decide(x)
+    for k, row in enumerate(x):
+        z = [float(row @ model.weights[:, j] + model.bias[j]) for j in range(model.code.shape[1])]
+        losses = [sum(t * math.log1p(math.exp(-bit * v)) for bit, v, t in zip(word, z, model.trust, strict=True)) for word in model.code.tolist()]
+        shares = sorted((math.exp(min(losses) - loss) / sum(math.exp(min(losses) - other) for other in losses) for loss in losses), reverse=True)
+        assert best[k] == losses.index(min(losses)) and model.languages[best[k]] == languages[k]
+        assert abs(score[k] - shares[0]) < 1e-4 and abs(ahead[k] - (shares[0] - shares[1])) < 1e-4
+
+
+def test_equal_losses_take_the_first_language_and_are_ambiguous():
+    model = language_id.LanguageModel(["a", "b"], language_id.codewords(2), np.zeros((language_id.DIMENSIONS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
+    best, score, ahead = model.decide(np.zeros((1, language_id.DIMENSIONS), np.float32))
+    assert (best[0], score[0], ahead[0]) == (0, 0.5, 0) and ahead[0] < language_id.AMBIGUOUS
+
+
+def test_language_sample_is_bounded_when_one_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 40)
+    seen = []
+    fit_codes = language_id.fit_codes
+    monkeypatch.setattr(language_id, "fit_codes", lambda x, names: seen.append(len(names)) or fit_codes(x, names))
+    docs = [(1, f"the of and {k}", "en", "s", 1) for k in range(300)] + [(2 + k, "der die und", "de", "s", 1) for k in range(30)]
+    assert language_id.fit(spark.createDataFrame(docs, DOCS)) is not None and seen[0] <= 40
