@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import exif, paths
 
 # Fixed value: fields of a search term, in the order in which they are tried.  As `f` and `s` come
@@ -104,8 +105,8 @@ def filter_catalog(catalog: DataFrame, rating: int = 0, raw: str = "all", edited
     return catalog.where(where)
 
 
-def sort_columns(key: str, descending: bool = False) -> list[Column]:
-    """Order of a list; ties go by name upwards in either direction, then by path."""
+def sort_keys(key: str, descending: bool = False) -> list[tuple[Column, bool]]:
+    """Order of a list as (expression, downwards); ties go by name upwards in either direction, then by path."""
     name = F.collate(paths.file_name(F.col("path")), "UNICODE")
     date = F.coalesce("date_original", F.lit(""))
     main = {
@@ -113,11 +114,17 @@ def sort_columns(key: str, descending: bool = False) -> list[Column]:
         "aperture": [F.col("aperture_n")], "focal_length": [F.col("focal_n")], "rating": [F.col("rating")], "edited": [F.col("is_edited")],
     }[key]
     main = main or [name]
-    return [c.desc() if descending else c.asc() for c in main] + [name.asc(), F.col("path").asc()]
+    return [*((c, descending) for c in main), (name, False), (F.col("path"), False)]
 
 
 def sort_catalog(catalog: DataFrame, key: str = "name", descending: bool = False) -> DataFrame:
-    return catalog.orderBy(*sort_columns(key, descending))
+    return catalog.orderBy(*(c.desc() if down else c.asc() for c, down in sort_keys(key, descending)))
+
+
+def ranked_catalog(catalog: DataFrame, key: str = "name", descending: bool = False, slot: str = "rank") -> DataFrame:
+    """Adds the place in the order of ``sort_catalog``, from 1, without one task that sorts everything."""
+    rows = storage.numbered(catalog.withColumn("_all", F.lit(0)), "_all", sort_keys(key, descending), slot)
+    return rows.withColumn(slot, F.col(slot) + 1).drop("_all")
 
 
 def page(sorted_catalog: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -120,8 +120,8 @@ def c4(spark, d):
 
 @query("c5_sort", N + "select idx, row_number() over (order by shutter_n desc, name || case when copy_id is null then '' else '?vc=' || copy_id end, path) as rank from numbers")
 def c5(spark, d):
-    rows = search.numbers(catalog(spark, d)).withColumn("_all", F.lit(0))
-    return storage.numbered(rows, "_all", search.sort_columns("shutter_speed", True), "at").select("idx", (F.col("at") + 1).alias("rank"))
+    rows = search.numbers(catalog(spark, d)).select("idx", "path", "shutter_n")
+    return search.ranked_catalog(rows, "shutter_speed", True).select("idx", "rank")
 
 
 @query("c6_page", N + "select idx, path from numbers order by modified desc, path limit 40 offset 20")

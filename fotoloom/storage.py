@@ -4,11 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_owners: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Owns the tables that are written inside, and drops them at the end: what was made of them must be stored by then."""
+    made: list[DataFrame] = []
+    _owners.append(made)
+    try:
+        yield
+    finally:
+        _owners.remove(made)
+        for table in made:
+            discard(table)
+
+
+def _owned(table: DataFrame) -> DataFrame:
+    if _owners:
+        _owners[-1].append(table)
+    return table
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,7 +62,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    return out
+    return _owned(out)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -59,7 +81,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.table(own)
     out._written_to, out._table = path, own
-    return out
+    return _owned(out)
 
 
 def discard(table: DataFrame) -> None:
@@ -72,36 +94,49 @@ def discard(table: DataFrame) -> None:
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes of the files that a frame reads, by the optimizer's estimate; 0 where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 if size > 1 << 56 else size
+    """Bytes of the files that a frame reads, by the leaves of its optimized plan; leaves of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 56)
 
 
 def partitions_for(df: DataFrame, mb_each: int = 24, least: int = 8, most: int = 50_000) -> int:
-    """Partitions that hold about ``mb_each`` MB of the input files, by the optimizer's size estimate.
+    """Partitions that hold about ``mb_each`` MB of the files that a frame reads.
 
+    Small inputs get what spark.sql.shuffle.partitions says, but no more than four for each core.
     Shuffles have a block for each pair of tasks, so there are ``most`` partitions from about 1 TB on;
     larger ones are sorted with spills and streamed to Python in batches.
     """
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size_of(df) // (mb_each << 20))))
+    spark = df.sparkSession
+    small = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return max(least, small, min(most, -(-size_of(df) // (mb_each << 20))))
+
+
+Order = str | Column | tuple[Column, bool]
 
 
-def numbered(rows: DataFrame, key: str, order: list[str | Column], slot: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[Order], slot: str) -> DataFrame:
     """Adds a gapless number from 0 within each key, without bringing a key to one task.
 
     Rows are range-partitioned by (key, order) and written, with Spark's row ids of the sorted
     partitions; counts of (partition, key), few rows, give each partition its first number.
+    ``order`` has columns, or (expression, descending), which is worked out once a row.
     """
     n = partitions_for(rows)
-    cut = written(rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_row", 33)
-    counts = cut.groupBy(key, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    found = sorted((r[key], r["_part"], r["_n"], r["_first"]) for r in counts.collect())  # (partitions + keys) rows at most
-    base, last, starts = 0, None, []
+    tag = uuid.uuid4().hex[:8]  # the names of helping columns clash with none of the caller's
+    by_name, row, part_name, shift_name, key_name = (f"_{tag}_{x}" for x in ("by", "row", "part", "shift", "key"))
+    made = {f"{by_name}{k}": c[0] for k, c in enumerate(order) if isinstance(c, tuple)}
+    by = [(F.col(f"{by_name}{k}").desc() if c[1] else F.col(f"{by_name}{k}").asc()) if isinstance(c, tuple) else c for k, c in enumerate(order)]
+    rows = rows.withColumns(made) if made else rows
+    cut = written(rows.repartitionByRange(n, key, *by).sortWithinPartitions(key, *by).withColumn(row, F.monotonically_increasing_id()).drop(*made), "numbered")
+    part = F.shiftright(row, 33)
+    counts = cut.groupBy(F.col(key).alias(key_name), part.alias(part_name)).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first"))
+    found = sorted(map(tuple, counts.collect()), key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0], r[1]))  # (partitions + keys) rows at most
+    base, last, starts = 0, object(), []
     for k, p, n_rows, first in found:
         base = base if k == last else 0
         starts.append((k, p, base - first))
         base, last = base + n_rows, k
     spark = rows.sparkSession
-    shift = spark.createDataFrame(starts, f"{key} {dict(rows.dtypes)[key]}, _part long, _shift long")
-    return cut.withColumn("_part", part).join(F.broadcast(shift), [key, "_part"]).withColumn(slot, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
+    shift = F.broadcast(spark.createDataFrame(starts, f"{key_name} {dict(rows.dtypes)[key]}, {part_name} long, {shift_name} long"))
+    return cut.join(shift, F.col(key).eqNullSafe(F.col(key_name)) & (part == F.col(part_name))).withColumn(slot, F.col(row) + F.col(shift_name)).drop(row, key_name, part_name, shift_name)
