@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,5 +139,6 @@ def numbered(rows: DataFrame, key: str, order: list[Order], slot: str) -> DataFr
         starts.append((k, p, base - first))
         base, last = base + n_rows, k
     spark = rows.sparkSession
-    shift = F.broadcast(spark.createDataFrame(starts, f"{key_name} {dict(rows.dtypes)[key]}, {part_name} long, {shift_name} long"))
+    starts = pa.table({name: [s[k] for s in starts] for k, name in enumerate((key_name, part_name, shift_name))})  # an Arrow table needs no Python worker
+    shift = F.broadcast(spark.createDataFrame(starts).select(F.col(key_name).cast(dict(rows.dtypes)[key]), F.col(part_name).cast("long"), F.col(shift_name).cast("long")))
     return cut.join(shift, F.col(key).eqNullSafe(F.col(key_name)) & (part == F.col(part_name))).withColumn(slot, F.col(row) + F.col(shift_name)).drop(row, key_name, part_name, shift_name)
