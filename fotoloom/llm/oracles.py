@@ -41,4 +41,26 @@ HTML_TEXT = r"""with b as (select page_id, url, regexp_split_to_array(regexp_ext
 t as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', chr(1), 'g'), chr(1), '&'), '\s+', ' ', 'g'))) as parts from b)
 select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) as text, cast(length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10))) as bigint) as n_chars from t"""
 
-ORACLE_SQL = {"op5_html_text": HTML_TEXT, "op7_repeats": REPEATS, "op8_sharding": SHARDING}
+#: Cheapest edits row by row: of each state the cheapest letters, the ASCII-least of those, with what they make.
+CONVERSATIONS = rf"""with recursive {CRC_TABLE}, own as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    cast(list_transform(regexp_extract_all(hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))), '..'), lambda h: ('0x' || h)::bigint) as bigint[]) as bytes from conversations
+), hit as (select conv_id, turn, role, text, cast({CRC32} as bigint) % 20 as hit from own, crc), damaged as (
+  select conv_id, turn, case when hit = 4 then 'user' else role end as role, case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when hit = 3 then [0, 1] else [0] end) as copy from hit where hit <> 0
+), placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i from damaged),
+rows_ as (select conv_id, turn, i, role, text, left(role, 1) as initial, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 3 else 0 end as fault, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from placed),
+total as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from rows_ group by conv_id),
+put(q, q1, letters, price, lines) as (values (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 3, 'user:' || chr(10)), (1, 2, 'I', 3, 'user:' || chr(10)), (3, 2, 'I', 3, 'user:' || chr(10)), (2, 3, 'I', 3, 'assistant:' || chr(10)), (0, 3, 'II', 6, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 'II', 6, 'user:' || chr(10) || 'assistant:' || chr(10))),
+edit(q1, letter, initial, q2, price, role) as (values (0, 'K', 's', 1, 0, null), (0, 'K', 'u', 2, 0, null), (1, 'K', 'u', 2, 0, null), (2, 'K', 'a', 3, 0, null), (3, 'K', 'u', 2, 0, null), (0, 'R', null, 2, 3, 'user'), (1, 'R', null, 2, 3, 'user'), (2, 'R', null, 3, 3, 'assistant'), (3, 'R', null, 2, 3, 'user'), (0, 'D', null, 0, 4, null), (1, 'D', null, 1, 4, null), (2, 'D', null, 2, 4, null), (3, 'D', null, 3, 4, null)),
+chain as (
+  select conv_id, 0::bigint as i, 0 as q, {{'cost': 0, 'audit': '', 'body': ''}} as best from total
+  union all
+  select c.conv_id, c.i + 1, e.q2, min({{'cost': c.best.cost + p.price + e.price + case when e.letter <> 'D' and r.fault = 3 then 3 else 0 end, 'audit': c.best.audit || p.letters || e.letter, 'body': c.best.body || p.lines || case when e.letter = 'D' then '' else coalesce(e.role, r.role) || ':' || r.text || chr(10) end}})
+  from chain c join rows_ r on r.conv_id is not distinct from c.conv_id and r.i = c.i join put p on p.q = c.q join edit e on e.q1 = p.q1 and (e.initial is null or e.initial = r.initial) and (e.letter = 'D' or r.fault not in (1, 2)) group by c.conv_id, c.i, e.q2
+), last as (
+  select c.conv_id, min({{'cost': c.best.cost + p.price, 'audit': c.best.audit || p.letters, 'body': c.best.body || p.lines}}) as best from chain c join total t on t.conv_id is not distinct from c.conv_id and t.n = c.i join put p on p.q = c.q and p.q1 in (0, 3) group by c.conv_id
+)
+select k.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated, cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(best.body[:-2], '')) as repaired_sha256
+from (select distinct conv_id from conversations) k left join total t on t.conv_id is not distinct from k.conv_id left join last l on l.conv_id is not distinct from k.conv_id"""
+
+ORACLE_SQL = {"op5_html_text": HTML_TEXT, "op7_repeats": REPEATS, "op8_sharding": SHARDING, "op11_conversation_repair": CONVERSATIONS}

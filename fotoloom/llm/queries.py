@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, packing, quality_classifier, quality_rules, repeats, sharding, simhash, toxicity
+from . import conversation_repair, decontamination, html_text, language_id, packing, quality_classifier, quality_rules, repeats, sharding, simhash, toxicity
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -60,6 +60,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digests of the damaged conversations, a row for each original one."""
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.audited(conversations, conversation_repair.damaged(conversations))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -73,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
 }
