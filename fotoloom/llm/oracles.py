@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import license_scan
 from .sharding import tree
 
 #: The table of CRC-32 from its rule, and the checksum of a text's bytes by one fold.
@@ -63,4 +64,19 @@ chain as (
 select k.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated, cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(best.body[:-2], '')) as repaired_sha256
 from (select distinct conv_id from conversations) k left join total t on t.conv_id is not distinct from k.conv_id left join last l on l.conv_id is not distinct from k.conv_id"""
 
-ORACLE_SQL = {"op5_html_text": HTML_TEXT, "op7_repeats": REPEATS, "op8_sharding": SHARDING, "op11_conversation_repair": CONVERSATIONS}
+#: Word triples of texts against those of the wordings, by equality of the words.
+LICENSES = rf"""with t(wording, label, phrase, w) as (select k, label, phrase, string_split(words, ' ') from (values {', '.join(f"({k}, '{label}', {phrase}, '{words}')" for k, label, phrase, words in license_scan.wordings())}) v(k, label, phrase, words)),
+grams as (select wording, tp, w[tp + 1] || ' ' || w[tp + 2] || ' ' || w[tp + 3] as gram from (select wording, w, unnest(range(0, len(w) - 2)) as tp from t)),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+hits as (select r, wording, p - tp as diagonal, tp from (select r, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] as gram from (select r, w, unnest(range(0, len(w) - 2)) as p from d)) join grams using (gram)),
+voted as (select r, wording, diagonal, count(*) as n, min(tp) as a, max(tp) as b from hits group by 1, 2, 3),
+phrases as (select r, label, diagonal as place, 1.0::double as covered from voted join t using (wording) where phrase and n = len(w) - 2),
+edges as (select v.*, coalesce(diagonal - lag(diagonal) over (partition by r, wording order by diagonal) > {license_scan.GAP}, true) as opens from voted v join t using (wording) where not phrase),
+spanned as (select *, sum(opens::int) over (partition by r, wording order by diagonal) as span from edges),
+ends as (select r, wording, span, min(diagonal + a) as lo, max(diagonal + b + 2) as hi from spanned group by 1, 2, 3),
+cover as (select r, wording, span, count(distinct tp + k) as words from hits join spanned using (r, wording, diagonal), range(3) x(k) group by 1, 2, 3),
+notices as (select r, label, null::bigint as place, words / len(w)::double as covered from cover join ends using (r, wording, span) join t using (wording) where words >= {license_scan.COVERED} * len(w) and 2 * words >= hi - lo + 1),
+found as (select r, count(place) as n_base, min(place) as first_word, max(place) as last_word, array_to_string(list_sort(list(distinct label) filter (place is not null)), ',') as base_labels, array_to_string(list_sort(list(distinct label)), ',') as labels, max(covered) as score from (select * from phrases union all select * from notices) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from d left join found using (r)"""
+
+ORACLE_SQL = {"op5_html_text": HTML_TEXT, "op7_repeats": REPEATS, "op8_sharding": SHARDING, "op11_conversation_repair": CONVERSATIONS, "op12_license_scan": LICENSES}

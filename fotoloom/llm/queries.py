@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, html_text, language_id, packing, quality_classifier, quality_rules, repeats, sharding, simhash, toxicity
+from . import conversation_repair, decontamination, html_text, language_id, license_scan, packing, quality_classifier, quality_rules, repeats, sharding, simhash, toxicity
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -66,6 +66,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audited(conversations, conversation_repair.damaged(conversations))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and labels of license notices, for every document."""
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_license_scan": op12_license_scan,
 }
