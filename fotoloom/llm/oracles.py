@@ -79,4 +79,17 @@ notices as (select r, label, null::bigint as place, words / len(w)::double as co
 found as (select r, count(place) as n_base, min(place) as first_word, max(place) as last_word, array_to_string(list_sort(list(distinct label) filter (place is not null)), ',') as base_labels, array_to_string(list_sort(list(distinct label)), ',') as labels, max(covered) as score from (select * from phrases union all select * from notices) group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from d left join found using (r)"""
 
-ORACLE_SQL = {"op5_html_text": HTML_TEXT, "op7_repeats": REPEATS, "op8_sharding": SHARDING, "op11_conversation_repair": CONVERSATIONS, "op12_license_scan": LICENSES}
+#: Words one letter apart share what is left when the letter is taken from one of them, or from both at one place.
+SPELLING = rf"""with recursive {CRC_TABLE}, runs as (
+  select id, run, count(*) as c from (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as run from documents where text is not null) where length(run) >= 7 group by 1, 2
+), coded as (select run, c, cast(list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: ('0x' || h)::bigint) as bigint[]) as bytes from runs),
+summed as (select run, c, cast({CRC32} as bigint) as h from coded, crc),
+words as (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, cast(sum(c) as bigint) as n from summed group by 1 having length(word) >= 7 and sum(c) >= 2),
+less as (select word, p, left(word, p - 1) || substr(word, p + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as p from words)),
+pairs as (select w.word as a, l.word as b from words w join less l on l.rest = w.word union select l.word, w.word from words w join less l on l.rest = w.word union select x.word, y.word from less x join less y on x.rest = y.rest and x.p = y.p and x.word <> y.word),
+ranked as (select a as word, b as other, n as other_n, count(*) over (partition by a) as n_near, row_number() over (partition by a order by n desc, b) as place from pairs join words on word = b),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * w.n then other end as form, case when other_n >= 10 * w.n then other_n end as form_n from words w left join ranked r on r.word = w.word and place = 1),
+led as (select word, word as root, form as next from formed union all select l.word, l.next, f.form from led l join formed f on f.word = l.next)
+select f.word, f.form, l.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from formed f join led l on l.word = f.word and l.next is null"""
+
+ORACLE_SQL = {"op5_html_text": HTML_TEXT, "op7_repeats": REPEATS, "op8_sharding": SHARDING, "op11_conversation_repair": CONVERSATIONS, "op12_license_scan": LICENSES, "op13_spelling_variants": SPELLING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, html_text, language_id, license_scan, packing, quality_classifier, quality_rules, repeats, sharding, simhash, toxicity
+from . import conversation_repair, decontamination, html_text, language_id, license_scan, packing, quality_classifier, quality_rules, repeats, sharding, simhash, spelling, toxicity
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -71,6 +71,11 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the commoner words that they are one edit from, and where those lead."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -19,8 +19,11 @@ COLUMNS = {
     "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_decontamination": "doc_id item_id cosine lcs answer",
     "op10_language_id": "doc_id held_out lang_pred score",
+    "op11_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op12_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
-ALL_ROWS = {"op1_quality_rules", "op4_simhash", "op6_quality_classifier", "op7_repeats", "op8_sharding", "op10_language_id"}
+ALL_ROWS = {"op1_quality_rules", "op4_simhash", "op6_quality_classifier", "op7_repeats", "op8_sharding", "op10_language_id", "op12_license_scan"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
@@ -37,7 +40,7 @@ def test_query(spark, name):
     assert len(rows) == 200 if name in ALL_ROWS else rows
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "conversations"):
             con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
         cursor = con.execute(ORACLE_SQL[name])
         names = [x[0] for x in cursor.description]
