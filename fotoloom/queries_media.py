@@ -12,6 +12,7 @@ from .fixtures import RGB_SQL, TILES_DUP_SQL, TILES_SQL, images, rgb_images, tab
 from .operators import imaging, pixels, similar
 from .queries_library import SCORES, tag_scores
 from .registry import collector
+from .sources.versions import Table
 from .storage import shared_folder, written
 from .streaming import streams
 
@@ -352,7 +353,8 @@ def k1(spark, d):
 
 @query("k1_dedupe_stream", DEDUPED)
 def k1s(spark, d):
-    return streams.drained(streams.dedupe_logs(_log_lines(streams.arriving(table(spark, d, "events")))), "log-lines").select("level", "message", F.unix_millis("ts").alias("ms"))
+    lines = streams.Closing(_log_lines(streams.arriving(table(spark, d, "events"))), "ts")
+    return streams.drained(streams.dedupe_logs(lines.stream), "log-lines", lines).select("level", "message", F.unix_millis("ts").alias("ms"))
 
 
 def _job_events(events):
@@ -366,7 +368,7 @@ def k2(spark, d):
 
 @query("k2_progress_stream", twins.JOB_PROGRESS)
 def k2s(spark, d):
-    return streams.drained(streams.job_progress(_job_events(streams.arriving(table(spark, d, "events")))), "job-progress")
+    return streams.drained(streams.job_progress(_job_events(streams.arriving(table(spark, d, "events"))), None), "job-progress")
 
 
 UPSERTED = "select o_orderkey as path, cast(epoch(o_orderdate) as bigint) + case when o_orderkey % 3 = 0 then 5 else 0 end as modified, case when o_orderkey % 3 = 0 then 'new' else 'old' end as state from orders where o_orderkey % 4 <> 1 union all select o_orderkey, cast(epoch(o_orderdate) as bigint) + case when o_orderkey % 3 = 0 then 5 else -5 end, 'new' from orders where o_orderkey % 4 = 1"
@@ -386,9 +388,9 @@ def k4(spark, d):
 @query("k4_catalog_stream", UPSERTED)
 def k4s(spark, d):
     """The catalog after a stream of old rows and then one of changes went into its table."""
-    kept = streams.Table(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
-    for rows in _old_and_new(spark, d):
-        streams.finished(spark, streams.incremental_catalog(streams.arriving(written(rows, "catalog-changes")), kept))
+    kept = Table(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}", order="modified")
+    for name, rows in zip(("old", "new"), _old_and_new(spark, d), strict=True):
+        streams.finished(spark, streams.incremental_catalog(streams.arriving(written(rows, "catalog-changes")), kept, name))
     return kept.read()
 
 
@@ -411,7 +413,7 @@ def k5(spark, d):
 def k5s(spark, d):
     """The catalog after a tagger's stream went into its table."""
     photos, found = _untagged(spark, d)
-    kept = streams.Table(spark, f"{shared_folder(spark)}/tagged-{uuid.uuid4().hex}")
-    kept.write(photos)
+    kept = Table(spark, f"{shared_folder(spark)}/tagged-{uuid.uuid4().hex}")
+    kept.replace(photos)
     streams.finished(spark, streams.incremental_tags(streams.arriving(written(found, "tagger")), kept))
     return kept.read().select("path", F.array_join("tags", "|").alias("tags"))

@@ -8,12 +8,12 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import tags as tag_jobs
+from ..sources.versions import Table
 from ..storage import shared_folder
 
 WINDOW_MS = 1500
@@ -31,16 +31,44 @@ def arriving(table: DataFrame) -> DataFrame:
     return stream.parquet(*folders)
 
 
-def finished(spark: SparkSession, writer: DataStreamWriter) -> None:
+def finished(spark: SparkSession, writer: DataStreamWriter, checkpoint: str | None = None) -> None:
     """Runs a stream's writer over all that has arrived, with its checkpoint in the shared folder."""
-    writer.option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    writer.option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream makes of all that has arrived, as a Parquet table in the shared folder."""
-    path = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    finished(stream.sparkSession, stream.writeStream.format("parquet").option("path", path).outputMode("append"))
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+class Closing:
+    """A second source beside a stream that comes to an end: one row that moves the watermark past all others."""
+
+    def __init__(self, stream: DataFrame, column: str) -> None:
+        self.spark, self.schema, self.column = stream.sparkSession, stream.schema, column
+        self.folder = f"{shared_folder(self.spark)}/closing-{uuid.uuid4().hex}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+        self.stream = stream.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def put(self) -> None:
+        row = [F.lit("2250-01-01 00:00:00" if f.name == self.column else None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
+
+
+def drained(stream: DataFrame, name: str, closing: Closing | None = None) -> DataFrame:
+    """What a stream makes of all that has arrived, as a Parquet table in the shared folder.
+
+    With ``closing``, whose stream this one is made of, what waits for the watermark comes out too.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    finished(spark, writer, checkpoint)
+    if closing:
+        closing.put()
+        finished(spark, writer, checkpoint)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def with_state(spark: SparkSession) -> None:
+    """State with timers and time to live needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def shortened(column: str = "message"):
@@ -76,21 +104,61 @@ def dedupe_logs_batch(logs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scan_lines, "level string, message string, ms long").select("level", "message", F.timestamp_millis("ms").alias("ts"))
 
 
+class _Lines(StatefulProcessor):
+    """Keeps a line's times until the watermark has passed them, so they are judged in order whatever file they came in."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "n long")
+        self.last = handle.getValueState("last", "ms long")
+
+    def _wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for ms in batch["ms"]:
+                self.waiting.updateValue((int(ms),), (1,))
+        self._wake(min(k[0] for k in self.waiting.keys()))
+        yield _line_rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Judges the times that no later row can come before; what is left of a line goes when nothing can depend on it."""
+        passed = timerValues.getCurrentWatermarkInMs()
+        times = sorted(k[0] for k in self.waiting.keys())
+        ready = [t for t in times if t <= passed]
+        kept, last = _kept(ready, self.last.get()[0] if self.last.exists() else None)
+        for t in ready:
+            self.waiting.removeKey((t,))
+        if len(ready) < len(times):
+            self.last.update((last,)) if last is not None else None
+            self._wake(times[len(ready)])
+        elif last is not None and last + WINDOW_MS > passed:
+            self.last.update((last,))
+            self._wake(last + WINDOW_MS)
+        else:
+            self.last.clear()
+        yield _line_rows(key, kept)
+
+    def close(self) -> None:
+        pass
+
+
+def _line_rows(key: tuple, kept: list[int]) -> pd.DataFrame:
+    text = lambda v: pd.Series([v] * len(kept), dtype=object)  # noqa: E731  pandas' own text type may come in chunks, which Spark doesn't take
+    return pd.DataFrame({"level": text(key[0]), "message": text(key[1]), "ms": pd.Series(kept, dtype="int64")})
+
+
 def dedupe_logs(stream: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """As dedupe_logs_batch, over a stream; the state of a line goes when it is out of the watermark."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept, last = _kept(sorted(t for b in batches for t in b["ms"]), last)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"level": key[0], "message": key[1], "ms": pd.Series(kept, dtype="int64")})
+    """As dedupe_logs_batch, over a stream, for rows that come no later than ``late``; later ones are dropped.
 
+    A line comes out when the watermark has passed it; ``drained`` moves it past the last one.
+    """
+    with_state(stream.sparkSession)
     rows = stream.withWatermark("ts", late).select("level", shortened().alias("message"), "ts", F.unix_millis("ts").alias("ms"))
-    out = rows.groupBy("level", "message").applyInPandasWithState(step, "level string, message string, ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("level", "message").transformWithStateInPandas(_Lines(), "level string, message string, ms long", "Append", "EventTime")
     return out.select("level", "message", F.timestamp_millis("ms").alias("ts"))
 
 
@@ -123,57 +191,79 @@ def job_progress_batch(events: DataFrame) -> DataFrame:
     return rows.repartition("job_id").sortWithinPartitions("job_id", "at", "kind", "n").mapInArrow(_scan_jobs, "job_id long, at long, completed long")
 
 
-def job_progress(stream: DataFrame) -> DataFrame:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, done = state.get if state.exists else (0, 0)
-        rows = sorted((a, k, n) for b in batches for a, k, n in zip(b["at"], b["kind"], b["n"], strict=True))
-        out, total, done = _progress(rows, int(total), int(done))
-        state.update((int(total), int(done)))
-        yield pd.DataFrame({"job_id": key[0], "at": pd.Series([a for a, _ in out], dtype="int64"), "completed": pd.Series([c for _, c in out], dtype="int64")})
+class _Jobs(StatefulProcessor):
+    """Counts of jobs that are under way; a job's state goes when it ends, or ``ttl_ms`` after its last event."""
 
-    return stream.groupBy("job_id").applyInPandasWithState(step, "job_id long, at long, completed long", "total long, done long", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "total long, done long", self.ttl_ms)
 
-def newest(rows: DataFrame, key: str = "path") -> DataFrame:
-    """One row a key: the latest, by modified."""
-    order = Window.partitionBy(key).orderBy(F.desc("modified"), F.desc(F.xxhash64(*[c for c in rows.columns])))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total, done = self.counts.get() if self.counts.exists() else (0, 0)
+        events = sorted((int(a), k, int(n)) for b in rows for a, k, n in zip(b["at"], b["kind"], b["n"], strict=True))
+        out, total, done = _progress(events, int(total), int(done))
+        if total or done:
+            self.counts.update((total, done))
+        else:
+            self.counts.clear()
+        yield pd.DataFrame({"job_id": pd.Series([key[0]] * len(out), dtype=object), "at": pd.Series([a for a, _ in out], dtype="int64"), "completed": pd.Series([c for _, c in out], dtype="int64")})
 
+    def close(self) -> None:
+        pass
 
-def upsert(current: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
-    """Newer rows replace older ones; late older ones are ignored."""
-    return newest(current.unionByName(changes), key)
 
+def job_progress(stream: DataFrame, ttl_ms: int | None = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """As job_progress_batch, over a stream whose batches are in order.
 
-class Table:
-    """A Parquet table that a stream replaces version by version; ``current`` names the last whole one."""
+    With a time to live a stream has batches without data for ever, so one that is to end takes None; its
+    jobs then leave state only until they end.
+    """
+    with_state(stream.sparkSession)
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return stream.groupBy("job_id").transformWithStateInPandas(_Jobs(ttl_ms), "job_id long, at long, completed long", "Append", mode)
 
-    def __init__(self, spark, folder: str) -> None:
-        self.spark, self.folder, self.current = spark, folder, None
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.current) if self.current else None
+def newest(rows: DataFrame, key: str = "path") -> DataFrame:
+    """One row a key: the latest, by modified; ties by a hash of the row.  Summed by task before it is shuffled."""
+    latest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct("modified", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])))
+    return rows.groupBy(F.col(key).alias("_key")).agg(latest.alias("_row")).select("_row.*")
+
+
+def upsert(current: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
+    """Newer rows replace older ones; late older ones are ignored."""
+    return newest(current.unionByName(changes), key)
 
-    def write(self, rows: DataFrame) -> None:
-        path = f"{self.folder}/v-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        self.current = path
 
+def incremental_catalog(stream: DataFrame, table: Table, name: str = "catalog"):
+    """A writer that merges new and changed rows into the catalog table: only the buckets they are in are rewritten.
 
-def incremental_catalog(stream: DataFrame, table: Table, key: str = "path"):
-    """A writer that merges new and changed rows into the catalog table."""
+    ``name`` stands for the stream in the table's manifest: a batch that comes again after a restart changes
+    nothing.  A stream with a new checkpoint counts anew and needs a new name.
+    """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        known = table.read()
-        table.write(newest(batch, key) if known is None else upsert(known, batch, key))
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = newest(batch, table.key).persist()
+        try:
+            if table.manifest() is None:
+                table.replace(rows, name, number)
+            else:
+                table.merge(rows, lambda known, new: upsert(known, new, table.key), name, number)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(merge)
 
 
-def incremental_tags(stream: DataFrame, table: Table):
+def incremental_tags(stream: DataFrame, table: Table, name: str = "tags"):
     """A writer that adds a tagger's tags (path, tags) to photos of the catalog table that have none of its kind."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        table.write(tag_jobs.merge_ai_tags(table.read(), batch.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))))
+    def merge(batch: DataFrame, number: int) -> None:
+        found = batch.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags")).persist()
+        try:
+            table.merge(found, tag_jobs.merge_ai_tags, name, number)
+        finally:
+            found.unpersist()
 
     return stream.writeStream.foreachBatch(merge)

@@ -1,7 +1,10 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from fotoloom.operators import imaging, pixels
+from fotoloom.sources.versions import Table
 from fotoloom.streaming import streams
 
 N = 40
@@ -107,23 +110,78 @@ def drain(stream, name, start):
     q.stop()
 
 
-def test_log_stream_equals_batch(spark, tmp_path):
+LINE = "level string, message string, ms long"
+
+
+def lines_of(spark, rows):
+    return spark.createDataFrame(rows, LINE).select("level", "message", F.timestamp_millis("ms").alias("ts"))
+
+
+def test_log_stream_equals_batch_whatever_file_a_row_comes_in(spark, tmp_path):
     rows = [(f"l{k % 3}", f"m{k % 5}", k * 80 + 1000) for k in range(1400)]
-    df = spark.createDataFrame(rows, "level string, message string, ms long").select("level", "message", F.timestamp_millis("ms").alias("ts"))
+    rows += [("e", "late", 5000), ("e", "late", 1), ("e", "late", 1400), ("e", None, 7000), (None, "x", 7000)]
+    r = np.random.default_rng(4)
+    # files of 9 seconds each, with rows of the 9 seconds after, and with those of the 9 seconds before
+    files: dict[int, list] = {}
+    for row in rows:
+        files.setdefault(max(0, row[2] // 9000 + int(r.integers(-1, 2)) * (row[1] != "late")), []).append(row)
+    files[0] = [x for x in files[0] if x[2] != 1]
+    files[1].append(("e", "late", 1))  # comes after 5000 and before the watermark has passed it
     src = str(tmp_path / "in")
-    for part in range(4):
-        df.where(f"unix_millis(ts) >= {part * 30000} and unix_millis(ts) < {(part + 1) * 30000}").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(df.schema).parquet(src)
-    drain(streams.dedupe_logs(stream), "logs", lambda s: s.writeStream.format("memory").queryName("kept_logs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")))
-    got = sorted(map(tuple, spark.table("kept_logs").collect()))
-    assert got == sorted(map(tuple, streams.dedupe_logs_batch(df).collect()))
+    df = lines_of(spark, rows)
+    for k in sorted(files):
+        lines_of(spark, files[k]).coalesce(1).write.mode("append").parquet(src)
+    closing = streams.Closing(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), "ts")
+    got = streams.drained(streams.dedupe_logs(closing.stream, "28 seconds"), "lines", closing)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, streams.dedupe_logs_batch(df).collect()))
+
+
+def state_rows(spark, checkpoint, variable):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()
+
+
+def test_state_ends_with_lines_and_jobs(spark, tmp_path):
+    src, at = str(tmp_path / "lines"), str(tmp_path / "c1")
+    df = lines_of(spark, [("e", f"m{k % 4}", k * 300) for k in range(40)])
+    df.coalesce(1).write.parquet(src)
+    closing = streams.Closing(spark.readStream.schema(df.schema).parquet(src), "ts")
+    writer = streams.dedupe_logs(closing.stream).writeStream.format("noop").outputMode("append")
+    streams.finished(spark, writer, at)
+    assert state_rows(spark, at, "waiting").count() > 0
+    closing.put()
+    streams.finished(spark, writer, at)
+    assert state_rows(spark, at, "waiting").where("key.message is not null").count() == 0 == state_rows(spark, at, "last").count()
+    src, at = str(tmp_path / "jobs"), str(tmp_path / "c2")
+    rows = [(j, 10 * j + k, "add" if k == 0 else "done", 3 if k == 0 else 1) for j in range(6) for k in range(4)]
+    jobs = spark.createDataFrame(rows, "job_id long, at long, kind string, n long")
+    jobs.where("at % 10 < 2").coalesce(1).write.parquet(src + "1")
+    stream = streams.job_progress(spark.readStream.schema(jobs.schema).parquet(src + "*"), None)
+    writer = stream.writeStream.format("noop").outputMode("append")
+    streams.finished(spark, writer, at)
+    assert sorted(r["value"]["value"]["total"] if "value" in r["value"] else r["value"]["total"] for r in state_rows(spark, at, "counts").collect()) == [3] * 6
+    jobs.where("at % 10 >= 2").coalesce(1).write.parquet(src + "2")
+    streams.finished(spark, writer, at)
+    assert state_rows(spark, at, "counts").count() == 0
+
+
+def test_jobs_that_never_end_are_forgotten(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, 1, "add", 5), (2, 1, "add", 5)], "job_id long, at long, kind string, n long")
+    jobs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streams.job_progress(spark.readStream.schema(jobs.schema).parquet(str(tmp_path / "in")), 1)
+    query = stream.writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    for _ in range(40):
+        time.sleep(0.5)
+        if query.lastProgress and query.lastProgress["batchId"] >= 2:
+            break
+    query.stop()
+    assert state_rows(spark, str(tmp_path / "c"), "counts").count() == 0
 
 
 def test_progress_stream_equals_batch(spark, tmp_path):
     rows = [(k % 4, k, "add" if k % 3 == 0 else "done", 2 if k % 3 == 0 else 1) for k in range(200)]
     df = spark.createDataFrame(rows, "job_id long, at long, kind string, n long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    drain(streams.job_progress(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "jobs", lambda s: s.writeStream.format("memory").queryName("progress").outputMode("append").option("checkpointLocation", str(tmp_path / "c")))
+    drain(streams.job_progress(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), None), "jobs", lambda s: s.writeStream.format("memory").queryName("progress").outputMode("append").option("checkpointLocation", str(tmp_path / "c")))
     assert sorted(map(tuple, spark.table("progress").collect())) == sorted(map(tuple, streams.job_progress_batch(df).collect())) != []
 
 
@@ -131,7 +189,7 @@ def test_catalog_and_tag_streams(spark, tmp_path):
     one = spark.createDataFrame([("/a", 5, ["color:red"]), ("/b", 5, ["dog"])], "path string, modified long, tags array<string>")
     two = spark.createDataFrame([("/a", 3, None), ("/b", 9, None), ("/c", 1, None)], one.schema)
     src = str(tmp_path / "in")
-    table = streams.Table(spark, str(tmp_path / "t"))
+    table = Table(spark, str(tmp_path / "t"), order="modified", buckets=4)
     for k, part in enumerate((one, two)):
         part.coalesce(1).write.mode("append").parquet(src)
         drain(spark.readStream.schema(one.schema).parquet(src), "c", lambda s: streams.incremental_catalog(s, table).option("checkpointLocation", str(tmp_path / "c")))
@@ -140,3 +198,65 @@ def test_catalog_and_tag_streams(spark, tmp_path):
     tags.write.parquet(str(tmp_path / "tags"))
     drain(spark.readStream.schema(tags.schema).parquet(str(tmp_path / "tags")), "t", lambda s: streams.incremental_tags(s, table).option("checkpointLocation", str(tmp_path / "c2")))
     assert {r["path"]: r["tags"] for r in table.read().collect()} == {"/a": ["color:red", "sea"], "/b": None, "/c": ["sea"]}
+
+
+def files_of(table):
+    return {f["bucket"]: f["file"] for f in table.manifest()["files"]}
+
+
+def test_catalog_stream_goes_on_after_a_restart(spark, tmp_path):
+    row = lambda k, t, n: (f"/lib/{k}", t, [n])
+    schema = "path string, modified long, tags array<string>"
+    src, folder, at = str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")
+    new = lambda: Table(spark, folder, order="modified", buckets=8)  # noqa: E731  what a new process knows: the folder
+    spark.createDataFrame([row(k, 10, "old") for k in range(300)], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema(schema).parquet(src)
+    streams.finished(spark, streams.incremental_catalog(stream(), new()), at)
+    first = files_of(new())
+    assert new().read().count() == 300 and new().manifest()["batches"] == {"catalog": 0}
+    spark.createDataFrame([row(3, 20, "new"), row(4, 5, "late"), ("/lib/more", 1, None)], schema).coalesce(1).write.mode("append").parquet(src)
+    streams.finished(spark, streams.incremental_catalog(stream(), new()), at)
+    second = new()
+    got = {r["path"]: (r["modified"], r["tags"]) for r in second.read().collect()}
+    assert len(got) == 301 and got["/lib/3"] == (20, ["new"]) and got["/lib/4"] == (10, ["old"]) and got["/lib/more"] == (1, None)
+    changed = {b for b, f in files_of(second).items() if first.get(b) != f}
+    assert 1 <= len(changed) <= 3 and second.versions() == [1, 2]
+    assert second.manifest()["batches"] == {"catalog": 1}
+    # a batch that comes again changes nothing
+    again = spark.createDataFrame([row(3, 99, "again")], schema)
+    assert not second.merge(again, lambda known, rows: streams.upsert(known, rows), "catalog", 1)
+    assert second.versions() == [1, 2] and files_of(new()) == files_of(second)
+    # what a writer that died left behind goes with the next version, and so do versions before the last two
+    again.write.parquet(f"{folder}/data/{3:012d}-dead")
+    assert second.merge(again, lambda known, rows: streams.upsert(known, rows), "catalog", 2)
+    assert new().versions() == [2, 3] and not (tmp_path / "t" / "data" / f"{3:012d}-dead").exists()
+    assert {r["path"]: r["modified"] for r in new().read().collect()}["/lib/3"] == 99
+
+
+def test_files_are_bounded_and_left_out_by_their_ends(spark, tmp_path):
+    rows = spark.range(20000).select(F.concat(F.lit("/lib/"), F.col("id")).alias("path"), (F.col("id") * 7 % 20000).alias("modified"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("rating"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    table = Table(spark, str(tmp_path / "t"), order="modified", stats=("rating",), buckets=2)
+    stored = spark.read.parquet
+    rows.write.parquet(str(tmp_path / "rows"))
+    table.file_mb = 1 / 8
+    table._parts = lambda size, buckets: 16
+    table.replace(stored(str(tmp_path / "rows")))
+    files = table.manifest()["files"]
+    assert len(files) >= 16 and sum(f["rows"] for f in files) == 20000 and max(f["rows"] for f in files) < 4000
+    some = table.read(modified=(500, 900))
+    assert len(some.inputFiles()) <= len(files) // 3 and sorted(r["modified"] for r in some.collect()) == list(range(500, 901))
+    assert table.read(rating=(9, None)).count() == 0 and table.read(rating=(None, 2)).count() == 8000 and table.read(modified=(None, None)).count() == 20000
+    assert Table(spark, str(tmp_path / "none")).read() is None
+
+
+def test_a_second_writer_of_a_version_is_told(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), buckets=2)
+    table.replace(spark.createDataFrame([("/a", 1)], "path string, modified long"))
+    old = table.manifest()
+    table.replace(spark.createDataFrame([("/b", 1)], "path string, modified long"))
+    try:
+        table._publish(old | {"version": 2})
+        raise AssertionError("published twice")
+    except RuntimeError as error:
+        assert "someone else" in str(error)
+    assert [r["path"] for r in table.read().collect()] == ["/b"]

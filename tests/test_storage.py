@@ -41,3 +41,27 @@ def test_scratch_drops_what_was_written_inside(spark, tmp_path):
     assert kept.count() == 3
     assert not os.path.exists(gone._written_to.removeprefix("file://")) and not spark.catalog.tableExists(named._table)
     storage.discard(kept)
+
+
+def _plain(rows, out):
+    """Running columns by a loop over sorted rows."""
+    want, now = [], {}
+    for k, j, v, x in rows:
+        n, total, before, last = now.get((k, j), (0, None, None, None))
+        total = total if x is None else (total or 0) + x
+        want.append((k, j, v, x, n, before, last, total))
+        now[k, j] = (n + 1, total, v, x if x is not None else last)
+    return sorted(want, key=repr)
+
+
+def test_scan_takes_up_what_a_partition_left_of_a_key(spark, monkeypatch):
+    for hot in (lambda i: True, lambda i: i % 10 > 0, lambda i: False):
+        rows = sorted([(None if i % 97 == 5 else "hot" if hot(i) else f"k{i % 40:02}", 1, i, None if i % 3 else i) for i in range(900)], key=lambda r: (r[0] is not None, r[0] or "", r[2]))
+        df = spark.createDataFrame(rows, "k string, j int, v long, x long").repartition(3)
+        cut = storage.ordered(df, ["k", "j"], ["v"])
+        assert cut.select(F.shiftright("_row", 33)).distinct().count() > 3
+        out = storage.scan(cut, ["k", "j"], {"n": ("number", None), "before": ("lag", "v"), "last": ("last", "x"), "total": ("sum", "x")}).drop("_row")
+        assert sorted(map(tuple, out.collect()), key=repr) == _plain(rows, out)
+        widest = storage.scan(cut, ["k", "j"], {"n": ("number", None)})._jdf.queryExecution().optimizedPlan().toString()
+        assert "shiftright" in widest  # windows are of a partition's part of a key
+    assert storage.scan(storage.ordered(df.limit(0), ["k"], ["v"]), ["k"], {"n": ("number", None)}).count() == 0
