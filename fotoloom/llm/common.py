@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, numbered, partitions_for, shared_folder, written
+from ..storage import discard, numbered, ordered, partitions_for, scan, shared_folder, written
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BATCH_ROWS = 2000
 
-__all__ = ["as_bytes", "column_of", "discard", "id_crc32", "numbered", "partitions_for", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["as_bytes", "column_of", "discard", "id_crc32", "numbered", "ordered", "partitions_for", "scan", "shared_folder", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

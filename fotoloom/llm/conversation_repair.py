@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, small_batches
+from .common import ordered, partitions_for, scan, small_batches
 
 SEGMENT = 128
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
@@ -186,7 +186,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[str, str]], bool]]:
-    """Of rows sorted by key and i, the letters of the edits first (i = -1): (key, repaired rows, ended), bit by bit."""
+    """Of rows sorted by key and row, the letters of the edits first (row -1): (key, repaired rows, ended), bit by bit."""
     key, letters, at, state = None, "", 0, 0
 
     def inserted() -> list[tuple[str, str]]:
@@ -199,8 +199,8 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tup
         return out
 
     for batch in batches:
-        for new, i, role, text, audit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if i < 0:
+        for new, row, role, text, audit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row < 0:
                 if key is not None:
                     yield key, [], True
                 key, letters, at, state = new, audit, 0, 0
@@ -268,43 +268,43 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """key, turn, role, text and i, the place in the conversation."""
+    """key, turn, role, text and row, which grows in the order of a conversation; in range partitions, which may cut one."""
     rows = rows.select(_key().alias("key"), "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
-    return numbered(rows, "key", ["turn", "role", "text"], "i")
+    return ordered(rows, ["key"], ["turn", "role", "text"], "row")
 
 
-def _codes(ordered: DataFrame) -> DataFrame:
-    """key, i and code of each row: initial and first fault; a text's first place is found by partial sums, no row meets its copies."""
-    first = ordered.groupBy("key", "role", F.sha2("text", 256)).agg(F.min("i").alias("i")).select("key", "i", F.lit(True).alias("_first"))
-    rows = ordered.select(
-        "key", "i", F.substring("role", 1, 1).alias("initial"), (~F.col("text").rlike(f"[^{_SPACE}]")).alias("blank"), (~F.col("text").rlike(rf"[.!?][{_SPACE}]*\z")).alias("cut")
-    ).join(first, ["key", "i"], "left")
+def _codes(sorted_rows: DataFrame) -> DataFrame:
+    """key, i (the place in the conversation) and code of each row: initial and first fault; a text's first row is found by partial sums, no row meets its copies."""
+    first = sorted_rows.groupBy("key", "role", F.sha2("text", 256)).agg(F.min("row").alias("row")).select("key", "row", F.lit(True).alias("_first"))
+    facts = sorted_rows.select("key", "row", F.substring("role", 1, 1).alias("initial"), (~F.col("text").rlike(f"[^{_SPACE}]")).alias("blank"), (~F.col("text").rlike(rf"[.!?][{_SPACE}]*\z")).alias("cut"))
+    rows = scan(facts, ["key"], {"i": ("number", None)}, "row").join(first, ["key", "row"], "left")
     fault = F.when(F.col("blank"), BLANK).when(F.col("_first").isNull(), DUPLICATE).when(F.col("cut"), CUT_SHORT).otherwise(FINE)
     place = F.when(F.col("initial") == "s", 0).when(F.col("initial") == "u", 1).when(F.col("initial") == "a", 2).otherwise(3)
     return rows.select("key", "i", F.char(F.lit(65) + place + 4 * fault).alias("code"))
 
 
-def _plans(ordered: DataFrame) -> DataFrame:
+def _plans(sorted_rows: DataFrame) -> DataFrame:
     """key, the counts of faults, cost and audit of each conversation that has rows."""
     seg = F.floor(F.col("i") / SEGMENT).alias("seg")
-    coded = _codes(ordered).groupBy("key", seg).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "code"))), lambda x: x["code"]), "").alias("codes"))  # SEGMENT rows at most
-    turns = ordered.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long").alias("gaps"))
-    both = coded.join(turns, "key")
-    found = both.select("key", "seg", (F.col("seg") == F.floor((F.col("n") - 1) / SEGMENT)).alias("last"), "codes").mapInArrow(_searched, _SEARCHED)
+    coded = _codes(sorted_rows).groupBy("key", seg).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "code"))), lambda x: x["code"]), "").alias("codes"))  # SEGMENT rows at most
+    turns = sorted_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long").alias("gaps"))
+    both = coded.join(turns, "key").select("key", "seg", (F.col("seg") == F.floor((F.col("n") - 1) / SEGMENT)).alias("last"), "codes")
+    # codes are few bytes and much work: dealt out by count, not by size
+    found = both.repartition(4 * partitions_for(sorted_rows), "key", "seg").mapInArrow(_searched, _SEARCHED)
     plans = found.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_chains, "key string, blank long, duplicate long, truncated long, illegal long, cost long, audit string")
     return plans.join(turns.select("key", "gaps"), "key")
 
 
-def _stream(ordered: DataFrame, plans: DataFrame) -> DataFrame:
-    edits = plans.select("key", F.lit(-1).cast("long").alias("i"), F.lit("").alias("role"), F.lit("").alias("text"), "audit")
-    return edits.unionByName(ordered.select("key", "i", "role", "text", F.lit("").alias("audit"))).repartition("key").sortWithinPartitions("key", "i")
+def _stream(sorted_rows: DataFrame, plans: DataFrame) -> DataFrame:
+    edits = plans.select("key", F.lit(-1).cast("long").alias("row"), F.lit("").alias("role"), F.lit("").alias("text"), "audit")
+    return edits.unionByName(sorted_rows.select("key", "row", "role", "text", F.lit("").alias("audit"))).repartition("key").sortWithinPartitions("key", "row")
 
 
 def repaired(conversations: DataFrame) -> DataFrame:
     """conv_id, pos (from 0), role and text after the cheapest edits; conversations of which nothing is left have no row."""
     small_batches(conversations.sparkSession)
-    ordered = _ordered(conversations)
-    rows = _stream(ordered, _plans(ordered)).mapInArrow(_row_batches, "key string, pos long, role string, text string")
+    sorted_rows = _ordered(conversations)
+    rows = _stream(sorted_rows, _plans(sorted_rows)).mapInArrow(_row_batches, "key string, pos long, role string, text string")
     ids = conversations.groupBy(_key().alias("key")).agg(F.first("conv_id").alias("conv_id"))
     return rows.join(ids, "key").select("conv_id", "pos", "role", "text")
 
@@ -315,9 +315,9 @@ def audited(conversations: DataFrame, rows: DataFrame | None = None) -> DataFram
     A conversation of which ``rows`` has none gets zeros, no edits and the digest of the empty text.
     """
     small_batches(conversations.sparkSession)
-    ordered = _ordered(conversations if rows is None else rows)
-    plans = _plans(ordered)
-    digests = _stream(ordered, plans).mapInArrow(_digest_batches, "key string, repaired_sha256 string")
+    sorted_rows = _ordered(conversations if rows is None else rows)
+    plans = _plans(sorted_rows)
+    digests = _stream(sorted_rows, plans).mapInArrow(_digest_batches, "key string, repaired_sha256 string")
     ids = conversations.groupBy(_key().alias("key")).agg(F.first("conv_id").alias("conv_id"))
     out = ids.join(plans, "key", "left").join(digests, "key", "left")
     return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
