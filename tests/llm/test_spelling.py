@@ -1,11 +1,10 @@
 """Spelling variants against all pairs of words, tries with small shards, and single rules."""
 
 import random
+import re
 from collections import Counter
 from zlib import crc32
 
-import re
-
 import pytest
 
 from fotoloom.llm import spelling as sp
@@ -101,7 +100,7 @@ def test_one_edit_in_bulk_is_one_edit():
 
 
 def test_a_chain_of_forms_leads_to_its_root(spark):
-    text = "spelling " * 2000 + "spellinge " * 200 + "spellinges " * 20 + "spellingesx " * 2
+    text = "spelling " * 4000 + "spellinge " * 250 + "spellinges " * 15
     rows = [(k, w) for k, w in enumerate(text.split())]
     got = {r["word"]: (r["form"], r["root"]) for r in sp.variants(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = {eval(x)[0]: eval(x)[1:3] for x in brute(rows)}
