@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
+
 BUDGET_MS = 1000 / 60
 SLACK_MS = 2.0
 METRICS = ["duration_ms", "frame_count", "avg_fps", "worst_ms", "dropped_count", "dropped_ms"]
@@ -22,14 +24,27 @@ def bench_json(logs: DataFrame, column: str = "value") -> DataFrame:
 
 
 def frame_durations(frames: DataFrame) -> DataFrame:
-    """Adds gap_ms, the time since the frame before in the run."""
-    return frames.withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("run_id").orderBy("ts_ms")))
+    """Adds gap_ms, the time since the frame before in the run; a run may have most of the frames."""
+    rows = storage.scan(storage.ordered(frames, ["run_id"], ["ts_ms"], "_row"), ["run_id"], {"_before": ("lag", "ts_ms")})
+    return rows.withColumn("gap_ms", F.col("ts_ms") - F.col("_before")).drop("_row", "_before")
 
 
 def assign_phases(gaps: DataFrame, phases: DataFrame) -> DataFrame:
-    """Each gap with the phase in whose time, start excluded, it ends."""
-    inside = (gaps["run_id"] == phases["run_id"]) & (gaps["ts_ms"] > phases["start_ms"]) & (gaps["ts_ms"] <= phases["end_ms"])
-    return gaps.join(F.broadcast(phases), inside).drop(phases["run_id"])
+    """Each gap with the phase in whose time, start excluded, it ends.
+
+    Time is cut into buckets, for each phase of the power of two next to its length, so a phase is in three
+    buckets at most and a gap looks in one bucket for each of the powers that there are: an equi-join of rows,
+    whatever the number of runs and phases.
+    """
+    length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1.0))
+    fine = phases.where("end_ms > start_ms").withColumn("_power", F.ceil(F.log2(length)).cast("int"))
+    powers = [r[0] for r in fine.select("_power").distinct().collect()]  # as many as a double has exponents
+    bucket = lambda at: F.floor(at / F.pow(F.lit(2.0), F.col("_power"))).cast("long")
+    spread = fine.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("start_ms")), bucket(F.col("end_ms"))))).withColumnRenamed("run_id", "_run")
+    probes = gaps.withColumn("_power", F.explode(F.array(*map(F.lit, powers)).cast("array<int>"))).withColumn("_bucket", bucket(F.col("ts_ms"))).alias("g")
+    p = spread.alias("p")
+    met = probes.join(p, (F.col("g.run_id") == F.col("p._run")) & (F.col("g._power") == F.col("p._power")) & (F.col("g._bucket") == F.col("p._bucket")) & (F.col("ts_ms") > F.col("start_ms")) & (F.col("ts_ms") <= F.col("end_ms")))
+    return met.select(*[F.col(f"g.{c}") for c in gaps.columns], *[F.col(f"p.{c}") for c in phases.columns if c != "run_id"])
 
 
 def frame_metrics(gaps: DataFrame, phases: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import paths
 
-MAX_DEPTH = 64
+#: Rounds of pointer jumping: trees of 2**40 levels; more are a circle.
+MAX_ROUNDS = 40
 
 
 def folder_counts(files: DataFrame, root: str = "") -> DataFrame:
@@ -30,18 +31,28 @@ def folder_groups(catalog: DataFrame, base: str) -> DataFrame:
     return storage.numbered(groups, "_all", ["_other", "folder"], "place").select("folder", "photos", (F.col("place") + 1).alias("place"))
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor) pairs, each node being its own ancestor; ``nodes`` has id and parent_id."""
-    return nodes.sparkSession.sql(
-        "with recursive up(id, ancestor) as (select id, id from {nodes} union all select up.id, n.parent_id from up join {nodes} n on n.id = up.ancestor where n.parent_id is not null) select * from up", nodes=nodes
-    )
+def subtree_sums(nodes: DataFrame, value: str) -> DataFrame:
+    """id and ``value`` summed over the node and all below it; ``nodes`` has id, parent_id and ``value``.
+
+    Pointer jumping: after round k a node has the sum of what lies less than 2**k levels below, and points 2**k levels
+    up, so rounds are the logarithm of the depth and tables stay as long as ``nodes``.  Rounds are written.
+    """
+    now = storage.written(nodes.select("id", F.col("parent_id").alias("up"), F.coalesce(value, F.lit(0)).alias("sum")), "subtrees")
+    for _ in range(MAX_ROUNDS):
+        if now.where("up is not null").isEmpty():
+            return now.select("id", F.col("sum").alias(value))
+        given = now.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("sum").alias("more"))
+        next_up = now.select(F.col("id").alias("up"), F.col("up").alias("far"))
+        after = now.join(given, "id", "left").join(next_up, "up", "left").select("id", F.col("far").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"))
+        before, now = now, storage.written(after, "subtrees")
+        storage.discard(before)
+    raise ValueError("nodes are their own ancestors")
 
 
 def album_counts(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """id and count: members of an album, for groups those of all albums below."""
-    own = members.groupBy("album_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = closure(nodes).join(own, F.col("id") == F.col("album_id")).groupBy(F.col("ancestor").alias("id")).agg(F.sum("n").alias("count"))
-    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("count"))
+    own = members.groupBy(F.col("album_id").alias("id")).agg(F.count(F.lit(1)).alias("count"))
+    return subtree_sums(nodes.select("id", "parent_id").join(own, "id", "left"), "count")
 
 
 def rewrite_paths(members: DataFrame, renames: DataFrame, old_folder: str | None = None, new_folder: str | None = None) -> DataFrame:

@@ -54,17 +54,23 @@ def collisions(plan: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def copy_names(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds ``copy_name``: <stem>_copy_<k>.<ext>, with the first numbers that no file of the folder has."""
-    path = F.col("source_path")
-    key = {"_base": F.concat(paths.folder(path), F.lit("/"), paths.stem(path)), "_ext": F.regexp_extract(path, r"\.([^./]+)$", 1)}
-    used = existing.select(F.regexp_extract(path, r"^(.+)_copy_([0-9]{1,9})\.[^./]+$", 1).alias("_base"), F.regexp_extract(path, r"\.([^./]+)$", 1).alias("_ext"), F.nullif(F.regexp_extract(path, r"_copy_([0-9]{1,9})\.[^./]+$", 1), F.lit("")).cast("int").alias("k"))
-    used = used.where("k is not null").groupBy("_base", "_ext").agg(F.collect_set("k").alias("_used"))
-    own = Window.partitionBy("_base", "_ext")
-    rows = items.withColumns(key).withColumn("_n", F.row_number().over(own.orderBy("idx"))).withColumn("_all", F.count(F.lit(1)).over(own))
-    rows = rows.join(used, ["_base", "_ext"], "left")
-    taken = F.coalesce("_used", F.array().cast("array<int>"))
-    free = F.array_except(F.sequence(F.lit(1), (F.col("_all") + F.size(taken)).cast("int")), taken)
-    return rows.withColumn("copy_name", F.concat("_base", F.lit("_copy_"), F.element_at(free, F.col("_n")).cast("string"), F.lit("."), "_ext")).drop("_base", "_ext", "_n", "_all", "_used")
+    """Adds ``copy_name``: <stem>_copy_<k>.<ext>, with the first numbers that no file of the folder has.
+
+    Behind each used number a run of free ones begins: the one of place r (from 0) at k has k - r - 1 free
+    numbers before it.  Items and runs are sorted by that count together, and an item takes the last run that begins
+    no later than its own place, so work grows with the rows and one name may have most of them.
+    """
+    path, ext = F.col("source_path"), r"\.([^./]+)$"
+    keys = ["_base", "_ext"]
+    used = existing.select(F.regexp_extract(path, r"^(.+)_copy_([0-9]{1,9})\.[^./]+$", 1).alias("_base"), F.regexp_extract(path, ext, 1).alias("_ext"), F.nullif(F.regexp_extract(path, r"_copy_([0-9]{1,9})\.[^./]+$", 1), F.lit("")).cast("long").alias("_k"))
+    used = storage.ordered(used.where("_k > 0").distinct(), keys, ["_k"])
+    runs = storage.scan(used, keys, {"_r": ("number", None)}).select(*keys, (F.col("_k") - F.col("_r") - 1).alias("_n"), (F.col("_r") + 2).alias("_shift"), F.lit(True).alias("_run"))
+    rows = items.withColumns({"_base": F.concat(paths.folder(path), F.lit("/"), paths.stem(path)), "_ext": F.regexp_extract(path, ext, 1)})
+    placed = storage.scan(storage.ordered(rows, keys, ["idx"]), keys, {"_n": ("number", None)}).drop("_row").withColumn("_run", F.lit(False))
+    both = storage.ordered(placed.unionByName(runs, allowMissingColumns=True), keys, ["_n", (F.col("_run"), True), "_shift"])
+    found = storage.scan(both, keys, {"_last": ("last", "_shift")}).where(~F.col("_run"))
+    number = (F.col("_n") + F.coalesce("_last", F.lit(1))).cast("string")
+    return found.withColumn("copy_name", F.concat("_base", F.lit("_copy_"), number, F.lit("."), "_ext")).select(*items.columns, "copy_name")
 
 
 def relative_export_dir(items: DataFrame, bases: DataFrame) -> DataFrame:

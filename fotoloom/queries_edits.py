@@ -402,8 +402,15 @@ def a11w(spark, d):
     """The catalog as it is read back: written once, then again with new ratings, which replace those of the same buckets."""
     rows, folder = catalog(spark, d).select("idx", "path", "source_path", "rating"), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
     write_catalog(rows, folder)
-    write_catalog(rows.withColumn("rating", F.when(F.col("idx") % 2 == 0, 5).otherwise(F.col("rating"))), folder)
-    return spark.read.parquet(folder).select("idx", "path", "rating")
+    return write_catalog(rows.withColumn("rating", F.when(F.col("idx") % 2 == 0, 5).otherwise(F.col("rating"))), folder).read().select("idx", "path", "rating")
+
+
+@query("a11_catalog_pruned", W + "select idx, path, rating from catalog where modified between 800000000 and 810000000 and rating >= 3")
+def a11p(spark, d):
+    """The catalog as it is read back for a range of times and ratings: files without such rows are left out."""
+    rows = catalog(spark, d).select("idx", "path", "source_path", "rating", "modified")
+    kept = write_catalog(rows, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}", order="modified", stats=("rating",))
+    return kept.read(modified=(800000000, 810000000), rating=(3, None)).select("idx", "path", "rating")
 
 
 @query("w3_edit_and_plan", W + "select idx, '/out/' || substr(folder, 6) || '/' || " + STEM + " || '_edited.jpg' as target from catalog where copy_id is null and idx % 2 = 0")

@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.benchmark import bench_json
-from ..storage import written
+from ..storage import partitions_for, written
+from .versions import Table
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of folders: (path, modified, size) of what is in them; size is null for a folder."""
+    for batch in batches:
+        out: list[tuple] = []
+        for folder in batch.column(0).to_pylist():
+            store, path = fs.FileSystem.from_uri(folder)
+            for x in store.get_file_info(fs.FileSelector(path)):
+                out.append((folder.rstrip("/") + "/" + x.base_name, None if x.mtime_ns is None else x.mtime_ns // 1_000_000_000, x.size if x.type == fs.FileType.File else None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "modified", "size"])
 
 
 def list_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """source_path, modified (epoch seconds) and size of image files; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    path = F.regexp_replace("path", "^file:", "")
-    return files.select(path.alias("source_path"), F.unix_seconds("modificationTime").alias("modified"), F.col("length").alias("size")).where(paths.is_supported(F.col("source_path")))
+    """source_path, modified (epoch seconds) and size of image files; no content is read.
+
+    Folders are listed by tasks, a level at a time, and each level is written, so no list of all files is held
+    anywhere.  ``root`` is a path or a URI that Arrow's file systems know.  As in Spark's own listings, what begins with
+    a dot or an underscore is left out.
+    """
+    start = root if "://" in root else "file://" + root
+    level = spark.createDataFrame(pa.table({"path": [start.rstrip("/")]}))
+    levels: list[DataFrame] = []
+    while True:
+        many = partitions_for(level, mb_each=1, least=1)
+        found = level.repartition(max(many, spark.sparkContext.defaultParallelism)).mapInArrow(_listed, "path string, modified long, size long")
+        found = written(found.where(~F.substring_index("path", "/", -1).rlike("^[._]")), "listed")
+        levels.append(found.where("size is not null"))
+        level = found.where("size is null").select("path")
+        if not recursive or level.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, levels)
+    return every.select(F.regexp_replace("path", "^file://", "").alias("source_path"), "modified", "size").where(paths.is_supported(F.col("source_path")))
 
 
 LENS_SCHEMA = "maker array<struct<_VALUE string, _lang string>>, model array<struct<_VALUE string, _lang string>>, mount array<string>, cropfactor double, calibration struct<distortion array<struct<_model string, _focal double, _a double, _b double, _c double, _k1 double, _k2 double, _k3 double>>, tca array<struct<_model string, _focal double, _vr double, _vb double>>, vignetting array<struct<_model string, _focal double, _aperture double, _distance double, _k1 double, _k2 double, _k3 double>>>"
@@ -104,7 +134,14 @@ def read_bench_log(spark: SparkSession, path: str) -> DataFrame:
     return bench_json(spark.read.text(path, wholetext=True))
 
 
-def write_catalog(catalog: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parquet by hash bucket of the source path; only the buckets at hand are replaced."""
-    rows = catalog.withColumn("bucket", F.pmod(F.xxhash64("source_path"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def write_catalog(catalog: DataFrame, folder: str, buckets: int = 64, order: str = "path", stats: tuple[str, ...] = ()) -> Table:
+    """The catalog as a table in versions: hash buckets of the source path, cut by ranges of ``order`` into files of bounded size.
+
+    Only the buckets at hand are replaced.  ``Table.read`` leaves files out by ``order`` and ``stats``.
+    """
+    table = Table(catalog.sparkSession, folder, key="source_path", order=order if order in catalog.columns else "source_path", stats=stats, buckets=buckets)
+    if table.manifest() is None:
+        table.replace(catalog)
+    else:
+        table.merge(catalog, lambda _, rows: rows)
+    return table

@@ -157,8 +157,19 @@ def test_list_and_write(spark, tmp_path):
     assert sorted(r["source_path"].rpartition("/")[2] for r in files.list_images(spark, str(tmp_path)).collect()) == ["x.ARW", "z.PNG"]
     df = spark.createDataFrame([("/a", 1), ("/b", 2)], "source_path string, rating int")
     files.write_catalog(df, str(tmp_path / "out"), 4)
-    files.write_catalog(df.where("rating = 2").withColumn("rating", F.lit(5)), str(tmp_path / "out"), 4)
-    assert {r["source_path"]: r["rating"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}["/b"] == 5
+    kept = files.write_catalog(df.where("rating = 2").withColumn("rating", F.lit(5)), str(tmp_path / "out"), 4)
+    assert {r["source_path"]: r["rating"] for r in kept.read().collect()}["/b"] == 5
+
+
+def test_folders_are_listed_level_by_level(spark, tmp_path):
+    for n in ("x.ARW", "y.txt", "a/z.PNG", "a/b/c/d.tif", "a/b/é e.jpg", "q/.hidden/h.jpg", "q/_h/h.jpg", "q/.f.jpg", "empty/deep/n.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"123"[: len(n) % 4])
+    got = files.list_images(spark, str(tmp_path))
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    want = {(r["path"].removeprefix("file:"), int(r["modificationTime"].timestamp()), r["length"]) for r in plain.collect() if not r["path"].endswith(".txt")}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 4
+    assert [r["source_path"] for r in files.list_images(spark, str(tmp_path), recursive=False).collect()] == [str(tmp_path / "x.ARW")]
 
 
 def test_lens_xml(spark, tmp_path):
