@@ -225,16 +225,47 @@ def test_leaks_in_an_empty_table(spark):
     assert d.leaks(none, bench).count() == 0 and d.without_leaks(none, bench).columns == none.columns and d.without_leaks(none, bench).count() == 0
 
 
-def test_inverted_list_loses_no_stretch_that_reaches_the_limit():
-    import numpy as np
-
-    r = random.Random(9)
-    for _ in range(300):
-        item = [r.randrange(25) for _ in range(r.randint(6, 64))]
-        kept = [k for k in range(len(item)) if r.random() < 0.8] or [0]
-        if len(kept) < d.LCS * len(item):
-            continue
-        begins, _, weight, needed = d.inverted([np.array(item)], np.array([r.random() for _ in range(25)]))
-        terms = np.repeat(np.arange(25), np.diff(begins))
-        held = sum(w for t, w in zip(terms.tolist(), weight.tolist()) if t in {item[k] for k in kept})
-        assert held >= needed[0]
+def plain_tokens(text):
+    """Letters and digits by one character after another, without the operator's tables."""
+    return "".join(c.lower() if c.isalnum() else "" if c in "\u00ad\u200b" else " " for c in text).split()
+
+
+def test_typographic_signs_hide_no_item(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abdeiéöß") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(18))) for k in range(6)]
+    filler = lambda n: " ".join(word() + "." for _ in range(n))
+    dressed = [
+        lambda w: " ".join(f"“{x}”" for x in w), lambda w: "—".join(w), lambda w: "\u00a0".join(w), lambda w: " «" + "» – «".join(w) + "» ", lambda w: "… ".join(w), lambda w: " ".join(x[:2] + "\u00ad" + x[2:] for x in w),
+    ]
+    docs = [(k, f"{filler(150)} {dress(items[k][1].split())}’ {filler(90)}") for k, dress in enumerate(dressed)] + [(50, filler(300))]
+    for _, text in docs:
+        assert d.tokens(text) == [t.encode() for t in plain_tokens(text)]
+    got = {(x["doc_id"], x["item_id"]): x["lcs"] for x in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k): 1.0 for k in range(6)}
+
+
+def test_the_space_alone_finds_what_a_search_of_all_stretches_finds(spark):
+    """Every stretch of every document against every item, with other tokens and another subsequence than the operator's."""
+    items, docs, _ = make(5)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    want = set()
+    for item, text in items:
+        own = plain_tokens(text)
+        for doc, body in docs:
+            t = plain_tokens(body or "")
+            for s in range(0, max(1, len(t) - len(own) + 1), 3):
+                part = t[s : s + len(own) + max(4, len(own) // 3)]
+                if len(set(own) & set(part)) >= d.LCS * len(set(own)) and common(own, part) >= 0.8 * len(own) and common(own[-max(3, len(own) // 4) :], part) >= 0.8 * max(3, len(own) // 4):
+                    want.add((doc, item))
+                    break
+    got = {(x["doc_id"], x["item_id"]) for x in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want and len(got & want) >= 0.98 * len(want)
