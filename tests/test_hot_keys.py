@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from fotoloom.operators import benchmark, similar, tree
 from fotoloom.plans import planning
 
@@ -78,3 +80,53 @@ def test_albums_two_hundred_levels_deep(spark):
         assert "ancestors" in str(error)
     finally:
         tree.MAX_ROUNDS = before
+
+
+def _hashes(n, seed):
+    """Distinct hashes of 112 bits: bursts of near ones, ones of mostly zero bits, and strays; some twice."""
+    r = np.random.default_rng(seed)
+    bits = r.integers(0, 2, (n, 112))
+    for k in range(n):
+        if k % 3 == 0 and k:
+            bits[k] = bits[k - k % 30] ^ (r.random(112) < 0.12)
+        elif k % 7 == 0:
+            bits[k] = r.random(112) < 0.08
+    words = np.zeros((n, 2), np.uint64)
+    for b in range(112):
+        words[:, b // 64] |= bits[:, b].astype(np.uint64) << np.uint64(b % 64)
+    words[n // 2] = words[3]
+    return words
+
+
+def test_hamming_join_in_bands_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_BITS", 2)
+    monkeypatch.setattr(similar, "BLOCK", 200)
+    words = _hashes(700, 1)
+    df = spark.createDataFrame([(k, [int(x) for x in w.view(np.int64)]) for k, w in enumerate(words)], "idx long, words array<long>").repartition(3)
+    gap = np.bitwise_count(words[:, None] ^ words[None]).sum(2)
+    first = {}
+    for k, w in enumerate(map(bytes, words)):
+        first.setdefault(w, k)
+    reps = sorted(first.values())
+    for t, bands in ((28, 1), (28, 7), (13, 5)):
+        want = sorted([(a, b, int(gap[a, b])) for a in reps for b in reps if a < b and gap[a, b] <= t] + [(first[bytes(words[k])], k, 0) for k in range(700) if k not in reps])
+        got = similar.similar_pairs(df, t, bands=bands)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 500
+    assert similar.similar_pairs(df.limit(0)).count() == 0
+
+
+def test_bands_compare_a_small_share_of_the_pairs():
+    n = 2500
+    words, ids = _hashes(n, 2), np.arange(n)
+    words = words[np.sort(np.unique(words, axis=0, return_index=True)[1])]
+    ids = ids[: len(words)]
+    gap_rows = [np.flatnonzero((np.bitwise_count(words[k] ^ words[k + 1 :]).sum(1)) <= 28).size for k in range(len(words))]
+    found, compare = 0, similar._Compare(28, 112, 7)
+    for band in range(7):
+        i, _, gap = compare.near(band, (ids, words), (ids, words))
+        found += len(i)
+        assert (gap <= 28).all()
+    assert found == sum(gap_rows)
+    # each pair of runs is met from both sides here; all pairs would be n * n
+    assert compare.compared < 0.25 * n * n
+    assert similar.bands_for(10**7, 28, 112) > 1 and similar.compared_share(28, 112, 7) < 0.11
