@@ -286,13 +286,46 @@ def d10(spark, d):
     return lens.match_lenses(catalog(spark, d), _lens_names(spark, d))
 
 
-@query("d13_resolve_lenses")
-def d13(spark, d):
+def _lens_edits(spark, d):
     i = F.col("idx")
     photos = catalog(spark, d).select("idx", "make", "lens", F.col("focal_length").substr(1, 3).try_cast("double").alias("focal"), F.lit(2.8).alias("aperture"), F.lit(5.0).alias("distance"), (i % 6 != 0).alias("has_exif"))
     mode = F.when(i % 4 == 0, F.create_map(F.lit("lensCorrectionMode"), F.lit('"manual"'), F.lit("lensMaker"), F.lit('"Sony"'))).otherwise(F.create_map(F.lit("exposure"), F.lit("1.0"), F.lit("lensDistortionParams"), F.lit("{}")))
     lenses = _lens_names(spark, d).selectExpr("*", "model as short", "model as canonical", "1.0D as cropfactor")
-    return lens.resolve_lens_for_edits(photos.withColumn("adjustments", mode), lenses, _calib(spark, d)).select("idx", _pairs(photos))
+    return photos, lens.resolve_lens_for_edits(photos.withColumn("adjustments", mode), lenses, _calib(spark, d))
+
+
+@query("d13_resolve_lenses")
+def d13(spark, d):
+    photos, rows = _lens_edits(spark, d)
+    return rows.select("idx", _pairs(photos))
+
+
+LENS_ENTRIES = [f"{k}_{p}" for k in ("distortion", "tca", "vignetting") for p in ("p1", "p2", "p3")]
+_ASKED = "photos as (select idx, lens_id, try_cast(substr(focal_length, 1, 3) as double) as focal, 2.8::double as aperture, 5.0::double as distance from catalog join best using (make, lens) where idx % 4 <> 0 and idx % 6 <> 0)"
+
+
+def _of_asked(sql):
+    return sql.replace("photos as (" + CALIB.split(", photos as (")[1], _ASKED)
+
+
+#: The entries of D13 as columns: those of the best match where the mode is automatic, and what was there before.
+RESOLVED = (
+    f"with best as ({MATCHED}), di as ({_of_asked(_interval_sql('distortion', '0.0'))}), tc as ({_of_asked(_interval_sql('tca', '1.0'))}), vg as ({_of_asked(VIGN)}), every as ({W} select idx, make, lens from catalog), {LENS_NAMES}, "
+    "found as (select e.idx, n.maker, n.model from every e join best b using (make, lens) join names n on n.lens_id = b.lens_id where idx % 4 <> 0 and idx % 6 <> 0) "
+    "select e.idx, case when e.idx % 4 = 0 then 'manual' end as mode, case when e.idx % 4 <> 0 then '1.0' end as exposure, case when e.idx % 4 = 0 then 'Sony' else f.maker end as maker, f.model, "
+    + ", ".join(f"{t}.{p} as {k}_{p}" for t, k in (("di", "distortion"), ("tc", "tca"), ("vg", "vignetting")) for p in ("p1", "p2", "p3"))
+    + " from every e left join found f using (idx) left join di on di.idx = e.idx left join tc on tc.idx = e.idx left join vg on vg.idx = e.idx"
+)
+
+
+@query("d13_lens_entries", RESOLVED)
+def d13e(spark, d):
+    """The edited documents entry by entry, the lens's values as numbers."""
+    _, rows = _lens_edits(spark, d)
+    own = lambda key: F.element_at("adjustments", key)
+    text = lambda key: F.get_json_object(F.concat(F.lit('{"v":'), own(key), F.lit("}")), "$.v")
+    values = F.from_json(own("lensDistortionParams"), ", ".join(f"{n} double" for n in LENS_ENTRIES))
+    return rows.withColumn("_v", values).select("idx", text("lensCorrectionMode").alias("mode"), own("exposure").alias("exposure"), text("lensMaker").alias("maker"), text("lensModel").alias("model"), *[F.col(f"_v.{n}").alias(n) for n in LENS_ENTRIES])
 
 
 LENS_FILES = """l as (select p_partkey % 60 as lens, min(p_size) as focal, max(p_partkey % 90) as k from part group by 1)"""
