@@ -104,15 +104,13 @@ def size_of(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, mb_each: int = 24, least: int = 8, most: int = 50_000) -> int:
-    """Partitions that hold about ``mb_each`` MB of the files that a frame reads.
+    """Partitions that hold about ``mb_each`` MB of the files that a frame reads, spark.sql.shuffle.partitions at least.
 
-    Small inputs get what spark.sql.shuffle.partitions says, but no more than four for each core.
+    With fewer than that, a join would shuffle a table in buckets again.
     Shuffles have a block for each pair of tasks, so there are ``most`` partitions from about 1 TB on;
     larger ones are sorted with spills and streamed to Python in batches.
     """
-    spark = df.sparkSession
-    small = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return max(least, small, min(most, -(-size_of(df) // (mb_each << 20))))
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size_of(df) // (mb_each << 20))))
 
 
 Order = str | Column | tuple[Column, bool]
@@ -128,6 +126,8 @@ def ordered(rows: DataFrame, keys: list[str], order: list[Order], row: str = "_r
     made = {f"{tag}{k}": c[0] for k, c in enumerate(order) if isinstance(c, tuple)}
     by = [(F.col(f"{tag}{k}").desc() if c[1] else F.col(f"{tag}{k}").asc()) if isinstance(c, tuple) else c for k, c in enumerate(order)]
     n = partitions_for(rows)
+    if size_of(rows) < 1 << 30:  # small inputs: four tasks a core do, whatever the number of shuffle partitions
+        n = min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism)
     rows = rows.withColumns(made) if made else rows
     return written(rows.repartitionByRange(n, *keys, *by).sortWithinPartitions(*keys, *by).withColumn(row, F.monotonically_increasing_id()).drop(*made), "ordered")
 

@@ -15,7 +15,7 @@ def test_size_of_a_join_is_the_sum_of_its_files(spark, tmp_path):
     files = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/*/part-*"))
     assert storage.size_of(a.join(b, "id")) == files
     assert storage.partitions_for(a.join(b, "id").join(a.withColumnRenamed("x", "z"), "id")) == 8
-    assert storage.partitions_for(a, mb_each=1, least=1) <= 4 * spark.sparkContext.defaultParallelism
+    assert storage.partitions_for(a, mb_each=1, least=1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_numbered_with_one_hot_key_nulls_ties_and_clashing_names(spark):
