@@ -115,6 +115,18 @@ def test_hamming_join_in_bands_equals_all_pairs(spark, monkeypatch):
     assert similar.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_are_found_once_however_often_groups_read_them(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.createDataFrame([(k, k + 1, k % 2) for k in range(40)], "a long, b long, distance int").mapInArrow(counted, "a long, b long, distance int")
+    assert similar.similar_groups(pairs).count() == 41 and runs.value == 40
+
+
 def test_bands_compare_a_small_share_of_the_pairs():
     n = 2500
     words, ids = _hashes(n, 2), np.arange(n)
