@@ -115,6 +115,17 @@ def test_hamming_join_in_bands_equals_all_pairs(spark, monkeypatch):
     assert similar.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_every_pair_of_copies_where_asked(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    words = [[7, 0]] * 20 + [[7 << k, k] for k in range(30)] + [[1, 0]] * 5
+    rows = [(k * 3 % 55, w) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "idx long, words array<long>")
+    gap = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True))
+    for t in (5, 34, 112):
+        want = sorted((a, b, gap(x, y)) for a, x in rows for b, y in rows if a < b and gap(x, y) <= t)
+        assert sorted(map(tuple, similar.similar_pairs(df, t, every=True).collect())) == want and len(want) > 200
+
+
 def test_pairs_are_found_once_however_often_groups_read_them(spark):
     runs = spark.sparkContext.accumulator(0)
 
