@@ -73,7 +73,10 @@ def read_lens_db(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return rows.drop("calibration"), parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-NODE_SCHEMA = "array<struct<id string, name string, images array<string>, children string>>"
+#: at and first are in documents in parts only: the node's place among its siblings, and the place of the first path.
+NODE_SCHEMA = "array<struct<id string, name string, images array<string>, children string, at int, first long>>"
+#: Paths in a part of an album.
+PART = 5000
 
 
 def albums(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +87,7 @@ def albums(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = documents.select(F.lit(None).cast("string").alias("parent_id"), F.col("tree").alias("below"))
     levels: list[DataFrame] = []
     while True:
-        found = level.select("parent_id", F.posexplode(F.from_json("below", NODE_SCHEMA)).alias("at", "n")).select("parent_id", (F.col("at") + 1).alias("pos"), "n.*")
+        found = level.select("parent_id", F.posexplode(F.from_json("below", NODE_SCHEMA)).alias("at", "n")).select("parent_id", F.coalesce("n.at", F.col("at") + 1).alias("pos"), "n.*").drop("at")
         found = written(found, "album-level")
         levels.append(found)
         level = found.where("children is not null").select(F.col("id").alias("parent_id"), F.col("children").alias("below"))
@@ -92,8 +95,8 @@ def albums(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
     every = reduce(DataFrame.unionByName, levels)
     nodes = every.select("id", "parent_id", F.when(F.col("children").isNull(), "album").otherwise("group").alias("kind"), "name", "pos")
-    members = every.where("children is null").select(F.col("id").alias("album_id"), F.posexplode("images").alias("at", "path"))
-    return nodes, members.select("album_id", (F.col("at") + 1).alias("pos"), "path")
+    members = every.where("children is null").select(F.col("id").alias("album_id"), (F.coalesce("first", F.lit(1)) - 1).alias("before"), F.posexplode("images").alias("at", "path"))
+    return nodes, members.select("album_id", (F.col("before") + F.col("at") + 1).cast("int").alias("pos"), "path")
 
 
 def read_albums(spark: SparkSession, tree: str) -> tuple[DataFrame, DataFrame]:
@@ -123,6 +126,37 @@ def album_documents(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return now.where("parent_id is null").select("id", "pos", "doc")
 
 
+def album_parts(nodes: DataFrame, members: DataFrame, most: int = PART) -> DataFrame:
+    """doc: JSON documents in parts, each with ``most`` paths of one album at most and the groups above it.
+
+    Whatever the size of an album or a library, no row is longer than that.  ``albums_of_parts`` puts them together;
+    places of paths are from 1 and have no gaps, as ``albums`` gives them.
+    """
+    nodes = nodes if "pos" in nodes.columns else nodes.withColumn("pos", F.lit(1))
+    # the head of a node's text, open for its paths or children
+    head = F.regexp_replace(F.to_json(F.struct("id", "name", F.col("pos").cast("int").alias("at"))), r"\}$", ", ")
+    heads = nodes.select("id", "parent_id", "kind", head.alias("head"))
+    first = F.floor((F.col("pos") - 1) / most).cast("long") * most + 1
+    paths_of = members.groupBy(F.col("album_id").alias("id"), first.alias("first")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"])).alias("images"))
+    album = F.concat("head", F.lit('"first": '), F.coalesce("first", F.lit(1)).cast("string"), F.lit(', "images": '), F.coalesce("images", F.lit("[]")), F.lit("}"))
+    own = heads.where("kind <> 'group'").join(paths_of, "id", "left").select("parent_id", album.alias("doc"))
+    empty = heads.where("kind = 'group'").join(nodes.select(F.col("parent_id").alias("id")), "id", "left_anti").select("parent_id", F.concat("head", F.lit('"children": []}')).alias("doc"))
+    now, done = written(own.unionByName(empty), "album-parts"), []
+    while True:
+        done.append(now.where("parent_id is null").select("doc"))
+        open_parts = now.where("parent_id is not null")
+        if open_parts.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        above = heads.select(F.col("id").alias("_up"), F.col("parent_id").alias("_far"), "head")
+        now = written(open_parts.join(above, F.col("parent_id") == F.col("_up")).select(F.col("_far").alias("parent_id"), F.concat("head", F.lit('"children": ['), "doc", F.lit("]}")).alias("doc")), "album-parts")
+
+
+def albums_of_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``albums``, of what ``album_parts`` gave."""
+    nodes, members = albums(parts.select(F.concat(F.lit("["), "doc", F.lit("]")).alias("tree")))
+    return nodes.distinct(), members
+
+
 def write_albums(nodes: DataFrame, members: DataFrame) -> str:
     """The nested document of one library again, a text by the format."""
     found = album_documents(nodes, members).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "doc"))), lambda x: x["doc"]), ", ").alias("doc")).first()

@@ -82,6 +82,17 @@ def test_albums_round_trip(spark):
     assert {r["id"]: r["count"] for r in tree.album_counts(nodes, members).collect()} == {"g": 2, "a": 2, "b": 0}
 
 
+def test_albums_in_parts_have_short_rows(spark):
+    many = ", ".join(f'"/p{k}\\"x"' for k in range(95))
+    text = f'[{{"id": "g", "name": "G", "children": [{{"id": "b", "name": "B", "images": []}}, {{"id": "h", "name": "H", "children": [{{"id": "a", "name": "A", "images": [{many}]}}]}}, {{"id": "e", "name": "E", "children": []}}]}}, {{"id": "c", "name": "C", "images": ["/y"]}}]'
+    nodes, members = files.read_albums(spark, text)
+    parts = files.album_parts(nodes, members, 10)
+    assert parts.count() == 10 + 3 and max(r["doc"].count("/p") for r in parts.collect()) == 10
+    nodes2, members2 = files.albums_of_parts(parts)
+    assert sorted(map(repr, nodes2.collect())) == sorted(map(repr, nodes.collect())) and sorted(map(tuple, members2.collect())) == sorted(map(tuple, members.collect()))
+    assert files.write_albums(nodes2, members2) == text
+
+
 def test_tag_jobs_are_idempotent(spark, photos):
     some = photos.select("path").limit(2)
     once = tags.add_tag(photos, some, "new")
