@@ -68,10 +68,14 @@ def rewrite_paths(members: DataFrame, renames: DataFrame, old_folder: str | None
 
 def drop_deleted(members: DataFrame, deletions: DataFrame) -> DataFrame:
     """Members without those that are deleted themselves, by their file, or by any folder above."""
-    path = F.col("path")
-    keys = F.concat(F.array(path, paths.source_path(path)), paths.folders_above(path))
-    gone = members.select("path").distinct().select("path", F.explode(keys).alias("key")).join(deletions.select(F.col("path").alias("key")), "key", "left_semi").select("path").distinct()
-    return members.join(gone, "path", "left_anti")
+    path, gone = F.col("path"), F.col("_gone")
+    # folders are few beside the members, so only they are spread to the folders above
+    places = members.select(paths.folder(path).alias("_folder")).distinct()
+    above = places.select("_folder", F.explode(paths.folders_above(F.concat("_folder", F.lit("/x")))).alias("path")).join(deletions.select("path"), "path", "left_semi").select("_folder").distinct()
+    # by the file, which a virtual copy and its file share, members move once
+    by_file = deletions.select(F.explode(F.array_distinct(F.array(path, paths.source_path(path)))).alias("_file"), path.alias("_gone"))
+    rows = members.withColumns({"_folder": paths.folder(path), "_source": paths.source_path(path)}).join(above, "_folder", "left_anti")
+    return rows.join(by_file, (F.col("_source") == F.col("_file")) & ((gone == path) | (gone == F.col("_source"))), "left_anti").select(*members.columns)
 
 
 def add_to_album(members: DataFrame, album_id: int, added: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ def test_albums_in_parts_have_short_rows(spark):
     assert files.write_albums(nodes2, members2) == text
 
 
+def test_deletions_by_path_file_or_folder(spark):
+    members = ["/a/b/x.jpg", "/a/b/x.jpg?vc=1", "/a/c/y.jpg?vc=2", "/a/c/y.jpg", "/a/c/z?vc=b?vc=3", "/a/c/z", "/a/c/z?vc=b", "/d/w.jpg", "/d/e/f/v.jpg", "/u.jpg", None, "/d/e.jpg", "/a/c/y.jpg/t.jpg"]
+    rows = spark.createDataFrame([(k, m) for k, m in enumerate(members)], "pos int, path string")
+    for gone in (["/a/b"], ["/a/c/y.jpg"], ["/a/c/y.jpg?vc=2"], ["/a/c/z?vc=b"], ["/a/c/z"], ["/d/e", "/a/b/x.jpg"], ["/"], [], ["/d/e/f/v.jpg", "/d/e/f/v.jpg", None]):
+        out = tree.drop_deleted(rows, spark.createDataFrame([(g,) for g in gone], "path string"))
+        folders = lambda p: {"/".join(p.split("/")[:n]) for n in range(2, p.count("/") + 1)}
+        want = [(k, m) for k, m in enumerate(members) if m is None or not ({m, m.rpartition("?vc=")[0] or m} | folders(m)) & set(gone)]
+        assert out.columns == ["pos", "path"] and sorted(map(tuple, out.collect())) == want, gone
+    plan = tree.drop_deleted(rows, rows.select("path"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_source" in plan and "_folder" in plan  # no row for each member and each folder above it
+
+
 def test_tag_jobs_are_idempotent(spark, photos):
     some = photos.select("path").limit(2)
     once = tags.add_tag(photos, some, "new")
