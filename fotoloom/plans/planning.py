@@ -85,8 +85,12 @@ def relative_export_dir(items: DataFrame, bases: DataFrame) -> DataFrame:
 
 def export_summary(results: DataFrame) -> DataFrame:
     """One row: how many ended (failures too), how many failed, and the errors in order."""
-    failed = F.when(F.col("error").isNotNull(), F.struct("idx", "error"))
-    return results.agg(F.count(F.lit(1)).alias("completed"), F.count("error").alias("failed"), F.array_join(F.transform(F.array_sort(F.collect_list(failed)), lambda x: x["error"]), "\n").alias("errors"))
+    failed = storage.ordered(results.where("error is not null").select("idx", "error"), ["idx"], ["error"])
+    # ranges are put together first, so the task that makes the whole text reads no more than its characters
+    part = F.shiftright("_row", 33).alias("part")
+    texts = failed.groupBy(part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "error"))), lambda x: x["error"]), "\n").alias("text"))
+    whole = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("errors"))
+    return results.agg(F.count(F.lit(1)).alias("completed"), F.count("error").alias("failed")).crossJoin(whole)
 
 
 def export_errors(results: DataFrame) -> DataFrame:

@@ -201,3 +201,15 @@ def test_lens_xml(spark, tmp_path):
     assert lenses.first()["model"] == "M 50mm"
     got = {(r["kind"], r["focal"]): (r["p1"], r["p2"], r["p3"]) for r in calib.collect()}
     assert got == {("distortion", 50.0): (0.1, 0.2, 0.3), ("distortion", 60.0): (0.4, 0.0, 0.0), ("tca", 50.0): (1.01, 0.99, 0.0), ("vignetting", 50.0): (-1.0, 2.0, 3.0)}
+
+
+def test_export_errors_become_texts_before_one_task_reads_them(spark):
+    from fotoloom.plans import planning
+
+    rows = [(k * 7 % 50, None if k % 3 else f"e{k}") for k in range(50)] + [(3, "b"), (3, "a"), (None, "z")]
+    results = spark.createDataFrame(rows, "idx long, error string").repartition(5)
+    summary = planning.export_summary(results)
+    want = [e for _, e in sorted(((-1 if i is None else i, e) for i, e in rows if e is not None))]
+    assert tuple(summary.first()) == (53, len(want), "\n".join(want))
+    assert "struct(idx" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(planning.export_summary(results.where("error is null")).first()) == (33, 0, "")
