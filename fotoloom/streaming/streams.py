@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ..sources.versions import Table
 from ..storage import shared_folder
 
 WINDOW_MS = 1500
+#: Times of a line that wait together: some minutes, a million at most.
+SPAN_MS = 1 << 20
 MAX_TEXT = 12_000
 CUT = "… [truncated]"
 
@@ -105,11 +108,14 @@ def dedupe_logs_batch(logs: DataFrame) -> DataFrame:
 
 
 class _Lines(StatefulProcessor):
-    """Keeps a line's times until the watermark has passed them, so they are judged in order whatever file they came in."""
+    """Keeps a line's times until the watermark has passed them, so they are judged in order whatever file they came in.
+
+    Times wait in spans of SPAN_MS, packed, so the state is called for each span of a batch, not for each row.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "n long")
+        self.waiting = handle.getMapState("waiting", "span long", "times binary")
         self.last = handle.getValueState("last", "ms long")
 
     def _wake(self, at: int) -> None:
@@ -117,35 +123,71 @@ class _Lines(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(at)
 
+    def _times(self, span: int) -> np.ndarray:
+        return np.frombuffer(self.waiting.getValue((span,))[0], np.int32) + span * SPAN_MS
+
+    def _put(self, span: int, times: np.ndarray) -> None:
+        self.waiting.updateValue((span,), ((times - span * SPAN_MS).astype(np.int32).tobytes(),))
+
+    def _add(self, found: list[np.ndarray]) -> None:
+        times = np.unique(np.concatenate(found))
+        spans, first = np.unique(times // SPAN_MS, return_index=True)
+        for span, some in zip(spans.tolist(), np.split(times, first[1:]), strict=True):
+            self._put(span, np.union1d(self._times(span), some) if self.waiting.containsKey((span,)) else some)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found, n, least = [], 0, min(self.handle.listTimers(), default=None)
         for batch in rows:
-            for ms in batch["ms"]:
-                self.waiting.updateValue((int(ms),), (1,))
-        self._wake(min(k[0] for k in self.waiting.keys()))
+            times = np.unique(batch["ms"].astype("int64").to_numpy())
+            found, n, least = [*found, times], n + len(times), min(int(times[0]), int(times[0]) if least is None else least)
+            if n >= 1 << 20:
+                self._add(found)
+                found, n = [], 0
+        if found:
+            self._add(found)
+        self._wake(least)
         yield _line_rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Judges the times that no later row can come before; what is left of a line goes when nothing can depend on it."""
         passed = timerValues.getCurrentWatermarkInMs()
-        times = sorted(k[0] for k in self.waiting.keys())
-        ready = [t for t in times if t <= passed]
-        kept, last = _kept(ready, self.last.get()[0] if self.last.exists() else None)
-        for t in ready:
-            self.waiting.removeKey((t,))
-        if len(ready) < len(times):
+        last, left = self.last.get()[0] if self.last.exists() else None, None
+        for span in sorted(k[0] for k in self.waiting.keys()):
+            times = self._times(span)
+            n = int(np.searchsorted(times, passed, side="right"))
+            kept, last = _kept_of(times[:n], last)
+            if n:
+                yield _line_rows(key, kept)
+            if n < len(times):
+                left = int(times[n])
+                if n:
+                    self._put(span, times[n:])
+                break
+            self.waiting.removeKey((span,))
+        if left is not None:
             self.last.update((last,)) if last is not None else None
-            self._wake(times[len(ready)])
+            self._wake(left)
         elif last is not None and last + WINDOW_MS > passed:
             self.last.update((last,))
             self._wake(last + WINDOW_MS)
         else:
             self.last.clear()
-        yield _line_rows(key, kept)
+        yield _line_rows(key, [])
 
     def close(self) -> None:
         pass
 
 
+def _kept_of(times: np.ndarray, last: int | None) -> tuple[list[int], int | None]:
+    """As _kept, of sorted times: from one kept to the next by search."""
+    out, at = [], 0 if last is None else int(np.searchsorted(times, last + WINDOW_MS))
+    while at < len(times):
+        last = int(times[at])
+        out.append(last)
+        at = int(np.searchsorted(times, last + WINDOW_MS))
+    return out, last
+
+
 def _line_rows(key: tuple, kept: list[int]) -> pd.DataFrame:
     text = lambda v: pd.Series([v] * len(kept), dtype=object)  # noqa: E731  pandas' own text type may come in chunks, which Spark doesn't take
     return pd.DataFrame({"level": text(key[0]), "message": text(key[1]), "ms": pd.Series(kept, dtype="int64")})

@@ -260,3 +260,19 @@ def test_a_second_writer_of_a_version_is_told(spark, tmp_path):
     except RuntimeError as error:
         assert "someone else" in str(error)
     assert [r["path"] for r in table.read().collect()] == ["/b"]
+
+
+def test_times_of_a_line_wait_in_spans(spark, tmp_path):
+    r = np.random.default_rng(7)
+    rows = [("e", f"m{k % 3}", int(ms)) for k, ms in enumerate(r.integers(0, 4 * streams.SPAN_MS, 3000))]
+    df = lines_of(spark, rows)
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    closing = streams.Closing(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in")), "ts")
+    out = streams.dedupe_logs(closing.stream, "2 hours")
+    streams.finished(spark, out.writeStream.format("noop").outputMode("append"), str(tmp_path / "c"))
+    assert 0 < state_rows(spark, str(tmp_path / "c"), "waiting").where("key.message is not null").count() <= 3 * 4  # one for each time before
+    got = streams.drained(out, "lines", closing)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, streams.dedupe_logs_batch(df).collect()))
+    times = np.sort(r.integers(0, 90_000, 500))
+    for last in (None, 0, 40_000):
+        assert streams._kept_of(times, last) == streams._kept(times.tolist(), last)
