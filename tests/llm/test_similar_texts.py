@@ -105,3 +105,25 @@ def test_anchors_are_words_of_the_code_within_one_bit():
         assert set((keys[:, t] >> np.uint64(32)).tolist()) == {t}
         word = bits[:, similar_texts._PICKS[t]].astype(np.uint64) @ (np.uint64(1) << np.arange(31, dtype=np.uint64))
         assert (np.bitwise_count(word ^ (keys[:, t] & np.uint64(0x7FFFFFFF))) <= 1).all()
+
+
+def test_links_of_an_anchor_depend_on_no_batch(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from fotoloom.llm import similar_texts
+
+    monkeypatch.setattr(similar_texts, "TOGETHER", 16, raising=False)
+    r = np.random.default_rng(5)
+    centres = r.integers(0, 1 << 63, 4)
+    key = np.sort(r.integers(0, 6, 200) ** 2 // 4)
+    head = np.array([int(c) ^ sum(1 << int(b) for b in r.choice(62, 11, replace=False)) for c in centres[r.integers(0, 4, 200)]], np.int64)
+    rows = [pa.array(key), pa.array(np.arange(200)), pa.array(head)]
+
+    def links(n):
+        batches = (pa.RecordBatch.from_arrays([c.slice(s, n) for c in rows], ["anchor", "node", "head"]) for s in range(0, 200, n))
+        return sorted({(x["u"], x["v"]) for b in similar_texts._leaders(batches) for x in b.to_pylist()})
+
+    whole = links(200)
+    assert len(whole) > 100 and all(links(n) == whole for n in (1, 7, 16, 33, 64))
+    assert all(key[u] == key[v] for u, v in whole)
