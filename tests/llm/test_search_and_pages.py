@@ -179,6 +179,80 @@ def test_suffix_array_against_brute_force(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def test_every_page_of_a_host_is_in_its_array(spark):
+    """Marked menus and declared articles are witnesses against what other pages leave undecided, and stay as they are."""
+    r = random.Random(21)
+    text = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    menu, passage, promo = text(10), text(12), text(9)
+    own = [text(20) for _ in range(20)]
+    pages = {k: (f"<nav><ul><li>{menu}</li></ul></nav><article><p>{own[k]}</p><p>{passage}</p></article>", f"{own[k]}\n\n{passage}") for k in range(3)}
+    pages[3] = (f"<div>{menu}</div><p>{own[3]}</p><p>{passage}</p>", own[3])
+    pages |= {4 + k: (f"<main><p>{promo}</p><article>{own[4 + k]}</article><p>{own[7 + k]}</p></main>", f"{own[4 + k]}\n\n{own[7 + k]}") for k in range(3)}
+    pages |= {10 + k: (f"<p>{own[10]}</p><div class='ad'>{text(15)}</div>", own[10]) for k in range(4)}  # one page with other adverts
+    rows = [(k, "https://a.example/", h) for k, (h, _) in pages.items()] + [(30, "https://b.example/", f"<p>{menu}</p>")]
+    got = {x["page_id"]: x["text"] for x in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: t for k, (_, t) in pages.items()} | {30: menu}
+
+
+def test_array_of_all_kinds_of_blocks_against_brute_force(spark, monkeypatch):
+    """Also where every suffix passes the filter, which must change nothing."""
+    r = random.Random(31)
+    word = lambda: f"w{r.randrange(50)}"
+    shared = [[word() for _ in range(r.randint(8, 30))] for _ in range(5)]
+    some = lambda: " ".join([word() for _ in range(r.randint(0, 9))] + r.choice(shared)[r.randint(0, 3) :] + [word() for _ in range(r.randint(0, 9))])
+    shapes = ["<nav>{}</nav><article>{}</article>", "<div>{}</div><footer>{}</footer>", "<main><p>{}</p><article>{}</article></main>", "<p>{}<div class=ad>{}</div>", "<p>{}<p>{}"]
+    pages = [(k, f"http://h{k % 2}.example/{k}", r.choice(shapes).format(some(), some())) for k in range(40)]
+    pages += [(50 + k, pages[1][1], pages[1][2]) for k in range(4)]
+    parts = {k: html_text.parts_of(h) for k, _, h in pages}
+    segments = {k: html_text._segments(*p) for k, p in parts.items()}
+    want, cut = {}, 0
+    for k, url, _ in pages:
+        mine = segments[k]
+        others = {}
+        for j, u, _ in pages:
+            if html_text.host(u) == html_text.host(url) and segments[j][:2] != mine[:2]:
+                others.setdefault(str(segments[j][:2]), set()).update(tuple(s[i : i + html_text.RUN]) for s in segments[j] for i in range(len(s) - html_text.RUN + 1))
+        gone = [False] * len(mine[0])
+        for s in range(len(mine[0]) - html_text.RUN + 1):
+            if sum(tuple(mine[0][s : s + html_text.RUN]) in o for o in others.values()) >= html_text.PAGES - 1:
+                gone[s : s + html_text.RUN] = [True] * html_text.RUN
+        cut += sum(gone)
+        left, out = iter(zip(mine[0], gone)), []
+        for t, kind in zip(parts[k][0], parts[k][1]):
+            if kind == html_text.UNDECIDED:
+                t = " ".join(w.decode() for w, g in (next(left) for _ in t.split()) if not g)
+            out += [t] if t else []
+        want[k] = "\n\n".join(out)
+    assert cut > 100
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    result = lambda: {x["page_id"]: x["text"] for x in html_text.extracted(table).collect()}
+    assert result() == want
+    monkeypatch.setattr(html_text, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    monkeypatch.setattr(html_text, "_filter", lambda shared: [b"\xff" * (1 << 17)] * 3)
+    assert result() == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_hashes_that_enough_pages_have():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    rows = sorted((r.randrange(300) << html_text.TAG_BITS) | r.randrange(r.choice([2, 50])) for _ in range(900))
+    rows += [(400 << html_text.TAG_BITS) | (k // 3) for k in range(600)]  # one hash that many pages have
+    tags: dict = {}
+    for x in rows:
+        tags.setdefault(x >> html_text.TAG_BITS, set()).add(x)
+    want = {h for h, t in tags.items() if len(t) >= html_text.PAGES}
+    for size in (1, 2, 7, 2000):
+        batches = (pa.RecordBatch.from_arrays([pa.array(rows[k : k + size], pa.int64())], ["anchor"]) for k in range(0, len(rows), size))
+        assert {h for b in html_text._shared_hashes(batches) for h in b.column(0).to_pylist()} == want
+    hashes = np.array([r.randrange(1 << 35) for _ in range(5000)])
+    for slices in (1, 3, 256):
+        which, places = html_text._places(hashes, slices)
+        assert which.max() < slices and all(p.max() < html_text._SLICE_BITS for p in places)
+
+
 def test_deep_nesting_takes_time_in_proportion():
     import time
 
